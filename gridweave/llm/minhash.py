@@ -114,13 +114,13 @@ def _sign(size: int):
     return run
 
 
-def _slot(column: str):
+def slot_of(column: str):
     return F.pmod(F.xxhash64(F.lit(5), F.col(column)), F.lit(FILTER_BITS))
 
 
 def id_filter(ids: DataFrame, column: str) -> bytes:
     """A FILTER_BITS wide bitmap of hashed ids, OR-ed together before the shuffle; 1 MB whatever the input."""
-    slot = _slot(column)
+    slot = slot_of(column)
     rows = (
         ids.select(slot.alias("s"))
         .groupBy(F.floor(F.col("s") / 64).cast("int").alias("w"))
@@ -155,7 +155,7 @@ def _confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
     """The pairs (a, b) whose full shingle sets reach the threshold."""
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
     bitmap = docs.sparkSession.sparkContext.broadcast(id_filter(ids, "doc_id"))
-    full = docs.select("doc_id", "text", _slot("doc_id").alias("slot")).mapInArrow(
+    full = docs.select("doc_id", "text", slot_of("doc_id").alias("slot")).mapInArrow(
         _sets(size, bitmap), "doc_id long, n long, shingles array<long>"
     )
     sets = settle(full.join(ids, "doc_id", "left_semi"), "shingles")
