@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .minhash import id_filter, slot_of
+from .minhash import id_filter, slot_of, split_by_id
 from .runtime import new_path, prepare, settle
 
 _PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -142,3 +142,16 @@ def _collisions(docs: DataFrame, grouped: DataFrame) -> DataFrame | None:
         F.when(F.col("k").isNull(), F.col("keep_row")).when(F.col("k") == F.col("doc_id"), first).otherwise(F.lit(-1)).alias("keep_row"),
         F.coalesce("n", "group_size").alias("group_size"), "locator",
     )
+
+
+def without_duplicates(docs: DataFrame) -> DataFrame:
+    """docs with one row of each group of equal texts, and its columns as they are."""
+    found = settle(exact_duplicates(docs), "duplicates")
+    touched = settle(found.where(~F.col("kept")).select("doc_id").distinct(), "touched")
+    clear, doubtful = split_by_id(docs, touched)
+    stays = found.where(F.col("kept")).select(F.col("doc_id").alias("k_id"), F.unhex("text_sha256").alias("k_digest"))
+    digest = F.unhex(F.sha2(normalised(F.col("text")), 256))
+    # a row that repeats the id and the text of the one that stays goes, too
+    rows = doubtful.withColumn("__digest", digest).dropDuplicates(["doc_id", "__digest"])
+    match = F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("__digest") == F.col("k_digest"))
+    return clear.unionByName(rows.join(stays, match, "left_semi").select(*docs.columns))

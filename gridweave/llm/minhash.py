@@ -3,8 +3,8 @@
 Every permutation is evaluated once per shingle and gives two signature values, its minimum and its
 maximum. Bands of values are the keys of candidate buckets. A bucket's members are tied to the bucket's
 smallest document (a star, never all pairs); what a star leaves in several components is then compared
-across those components, filtered by a one-bit sketch inside the join. Each candidate link is confirmed
-on the full shingle sets before it counts.
+across those components, filtered inside the join by a one-bit sketch and by bitmaps that bound the
+similarity from above. Each candidate link is confirmed on the full shingle sets before it counts.
 
 Defined results: null or word-less text has no shingles and links with nothing; a text with fewer words
 than a shingle is one shingle; documents with equal sets are one class and share a component; a doc_id
@@ -30,7 +30,9 @@ from .runtime import discard, prepare, settle
 ROWS, BANDS = 6, 32
 PERMUTATIONS = ROWS * BANDS // 2
 #: One-bit sketch: pairs at similarity 0.8 differ in 12.8 of 128 bits, standard deviation 3.4.
-SKETCH_BITS, SKETCH_MOST = 128, 34
+SKETCH_BITS, SKETCH_MOST = 128, 30
+#: Bits of a set's bitmap. A bit that only one of two sets has is at least one shingle that only it has.
+BITMAP = 4096
 #: Bits of the fixed-size filter (1 MB) that spares most documents the second scan; past its capacity it only saves less.
 FILTER_BITS = 1 << 23
 
@@ -135,7 +137,8 @@ def id_filter(ids: DataFrame, column: str) -> bytes:
 
 def _sets(size: int, bitmap):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+        longs = pa.list_(pa.int64())
+        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("shingles", longs), ("bitmap", longs)])
         bits = np.frombuffer(bitmap.value, np.int64)
         for batch in batches:
             slot = batch.column(2).to_numpy(zero_copy_only=False)
@@ -143,29 +146,45 @@ def _sets(size: int, bitmap):
             for at in range(0, len(hit), 200):
                 own = batch.take(pa.array(hit[at : at + 200]))
                 sets, bounds = shingle_sets(own.column(1), size)
+                n = own.num_rows
+                flags = np.zeros((n, BITMAP), np.uint8)
+                flags[np.repeat(np.arange(n), np.diff(bounds)), (sets % U64(BITMAP)).astype(np.int64)] = 1
+                packed = np.packbits(flags, axis=1).view(np.int64).ravel()
+                starts = np.arange(n + 1, dtype=np.int32) * (BITMAP // 64)
                 yield pa.RecordBatch.from_arrays(
                     [own.column(0).cast(pa.int64()), pa.array(np.diff(bounds)),
-                     pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(sets.view(np.int64)))], schema=schema,
+                     pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(sets.view(np.int64))),
+                     pa.ListArray.from_arrays(pa.array(starts), pa.array(packed))], schema=schema,
                 )
 
     return run
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets reach the threshold."""
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+def _full_sets(ids: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """doc_id, n, shingles and bitmap of the documents in ids, by one more scan of docs."""
     bitmap = docs.sparkSession.sparkContext.broadcast(id_filter(ids, "doc_id"))
     full = docs.select("doc_id", "text", slot_of("doc_id").alias("slot")).mapInArrow(
-        _sets(size, bitmap), "doc_id long, n long, shingles array<long>"
+        _sets(size, bitmap), "doc_id long, n long, shingles array<long>, bitmap array<long>"
     )
-    sets = settle(full.join(ids, "doc_id", "left_semi"), "shingles")
+    return settle(full.join(ids, "doc_id", "left_semi"), "shingles")
+
+
+def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets reach the threshold."""
     one = sets.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
     two = sets.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     linked = pairs.select("a", "b").join(one, "a").join(two, "b").where(100 * both >= percent * (F.col("na") + F.col("nb") - both))
-    out = settle(linked.select("a", "b"), "links")
-    discard(sets)
-    return out
+    return settle(linked.select("a", "b"), "links")
+
+
+def _can_reach(percent: int):
+    """Whether the sets behind two rows can reach the threshold, by their bitmaps; never false for a link."""
+    words = F.zip_with("bitmap_a", "bitmap_b", lambda x, y: F.bit_count(x.bitwiseAND(y)))
+    shared = F.aggregate(words, F.lit(0), lambda total, x: total + x)
+    # at most n - bits shingles of a set hide behind bits that count already
+    most = shared + F.least(F.col("n_a") - F.col("bits_a"), F.col("n_b") - F.col("bits_b"))
+    return (100 + percent) * most >= percent * (F.col("n_a") + F.col("n_b"))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -193,22 +212,24 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     fits = (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (apart <= SKETCH_MOST)
     stars = members.where(F.col("doc_id") != F.col("pivot")).select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct()
     stars = settle(stars.join(side("a"), "a").join(side("b"), "b").where(fits).select("a", "b"), "stars")
-    links = _confirm(stars, docs, size, percent)
+    ends = stars.select(F.col("a").alias("doc_id")).unionByName(stars.select(F.col("b").alias("doc_id"))).distinct()
+    sets = _full_sets(ends, docs, size)
+    links = _confirm(stars, sets, percent)
+    discard(sets)
 
     label = components(links)
     known = members.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("c"))
     split = known.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where(F.col("c0") != F.col("c1")).select("key")
-    left = settle(known.join(split, "key", "left_semi").join(facts, "doc_id"), "unsettled")
-    first = left.select("key", *(F.col(c).alias(f"{c}_a") for c in ("doc_id", "c", "n", "sketch_a", "sketch_b")))
-    other = left.select("key", *(F.col(c).alias(f"{c}_b") for c in ("doc_id", "c", "n", "sketch_a", "sketch_b")))
-    across = (
-        first.join(other, (first["key"] == other["key"]) & (F.col("c_a") > F.col("c_b")) & fits)
-        .select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b"))
-        .distinct()
-    )
-    across = settle(across, "across")
-    if not across.isEmpty():
-        more = _confirm(across, docs, size, percent)
+    left = settle(known.join(split, "key", "left_semi"), "unsettled")
+    if not left.isEmpty():
+        sets = _full_sets(left.select("doc_id").distinct(), docs, size)
+        bits = F.aggregate(F.transform("bitmap", lambda x: F.bit_count(x)), F.lit(0), lambda t, x: t + x)
+        rows = left.join(sets.select("doc_id", "bitmap", bits.alias("bits")), "doc_id").join(facts, "doc_id")
+        names = ("doc_id", "c", "n", "sketch_a", "sketch_b", "bitmap", "bits")
+        first, other = (rows.select("key", *(F.col(c).alias(f"{c}_{s}") for c in names)) for s in ("a", "b"))
+        across = first.join(other, "key").where((F.col("c_a") > F.col("c_b")) & fits & _can_reach(percent))
+        across = settle(across.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct(), "across")
+        more = _confirm(across, sets, percent)
         if not more.isEmpty():
             label = components(links.unionByName(more))
     group = classes.join(label, classes["rep"] == label["node"], "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("group"))
@@ -216,3 +237,34 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     joined = signed.select("doc_id", "n_shingles", "set_a", "set_b").join(group, ["set_a", "set_b"], "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("group", "doc_id")).otherwise(F.col("doc_id"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
+
+
+def _split(bitmap, slot_at: int, hits: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(bitmap.value, np.int64)
+        for batch in batches:
+            slot = batch.column(slot_at).to_numpy(zero_copy_only=False)
+            hit = ((bits[slot >> 6] >> (slot & 63)) & 1).astype(bool)
+            yield batch.filter(pa.array(hit == hits)).select(list(range(slot_at)))
+
+    return run
+
+
+def split_by_id(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of docs whose doc_id is surely not in ids, and the others; by the fixed-size bitmap, with no shuffle."""
+    bitmap = docs.sparkSession.sparkContext.broadcast(id_filter(ids, "doc_id"))
+    marked = docs.withColumn("__slot", slot_of("doc_id"))
+    at = len(docs.columns)
+    return tuple(marked.mapInArrow(_split(bitmap, at, hits), docs.schema) for hits in (False, True))
+
+
+def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs without the rows whose doc_id is in ids; only rows that the bitmap can't clear are shuffled."""
+    clear, doubtful = split_by_id(docs, ids)
+    return clear.unionByName(doubtful.join(ids.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns))
+
+
+def without_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one document of each group, the one of smallest doc_id, and its columns as they are."""
+    found = near_duplicates(docs, size, percent)
+    return without_ids(docs, settle(found.where(~F.col("kept")).select("doc_id"), "dropped"))

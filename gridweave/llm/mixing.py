@@ -4,8 +4,8 @@ A document's rate is how often the mix takes it. Of all rates within [0, 2] that
 target of words, the ones nearest to 1 in relative entropy are min(2, exp(l * size / m)), l being the
 source's dual variable and m its mean size; the duals maximise a concave function, solved by Newton
 steps, bracketed by bisection, over each source's histogram of sizes. Rates become 0, 1 or 2 whole
-copies: first documents of over 1/200 of their source's target, by a hash of the id; then all others,
-at the cut of (hash - fraction) that makes the source's words meet what is left of its target.
+copies: a document gives one copy more than its rate's whole part where (hash of the id - fraction) is
+below a cut, one for each source and class of sizes, which falls near 0 and makes the words add up.
 
 Targets: sources in code-point order, null last, weigh 5, 2, 1, 5, 2, 1, ... and share `share` of all
 words; no target exceeds twice its source's words, the excess being shared by weight among the others.
@@ -30,18 +30,15 @@ MOST = 2.0
 #: Newton steps end when every source is this near to its target, relatively, or after STEPS.
 TOLERANCE, STEPS = 1e-4, 40
 BRACKET = 1e6
-#: Documents above this part of their source's target are rounded first.
-LARGE = 1 / 200
-#: The cut is found among so many equal steps of [-1, 1], then among as many parts of that step.
-STEPS_OF_CUT = 4096
+#: Documents are rounded by classes of size, target / 2**c; a cut falls between so many equal parts of (-1, 1).
+CLASSES, PARTS = 16, 4096
 #: Up to so many sources their table is broadcast (under 100 bytes each); beyond, it is joined by shuffle.
 BROADCAST_SOURCES = 20_000
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source and the number of words (runs of bytes other than ASCII white space)."""
-    size = F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"))
-    return docs.select("doc_id", F.col("source").cast("string").alias("source"), size.cast("long").alias("size"))
+def size_of(text):
+    """The number of words: runs of bytes other than ASCII white space."""
+    return F.regexp_count(F.coalesce(text.cast("string"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
 def targets(per_source: DataFrame, share: float = SHARE) -> DataFrame:
@@ -66,15 +63,17 @@ def _full():
     return F.col("target") >= MOST * F.col("source_size") * (1 - 1e-9)
 
 
-def _with(rows: DataFrame, state: DataFrame, few: bool) -> DataFrame:
-    return rows.join(F.broadcast(state) if few else state, rows["source"].eqNullSafe(state["source"]), "inner").drop(state["source"])
+def _with(rows: DataFrame, state: DataFrame, few: bool, how: str = "inner") -> DataFrame:
+    """rows joined with the one row per source of state; null is a source."""
+    named = state.withColumnRenamed("source", "state_source")
+    return rows.join(F.broadcast(named) if few else named, F.col("source").eqNullSafe(F.col("state_source")), how).drop("state_source")
 
 
 def solve(hist: DataFrame, goal: DataFrame, few: bool) -> DataFrame:
     """source, target, source_size, mean and the dual variable of each source. hist: source, size, n."""
     mean = hist.groupBy("source").agg((F.sum(F.col("n") * F.col("size")) / F.greatest(F.sum("n"), F.lit(1))).alias("mean"))
-    state = goal.join(mean, goal["source"].eqNullSafe(mean["source"]), "left").select(
-        goal["source"], "source_size", "target", F.greatest(F.coalesce("mean", F.lit(0.0)), F.lit(1e-9)).alias("mean"),
+    state = _with(goal, mean, few, "left").select(
+        "source", "source_size", "target", F.greatest(F.coalesce("mean", F.lit(0.0)), F.lit(1e-9)).alias("mean"),
         F.lit(0.0).alias("dual"), F.lit(-BRACKET).alias("lo"), F.lit(BRACKET).alias("hi"), _full().alias("done"),
     )
     state = settle(state, "duals")
@@ -88,7 +87,7 @@ def solve(hist: DataFrame, goal: DataFrame, few: bool) -> DataFrame:
             .groupBy("source")
             .agg(F.sum(F.col("n") * F.col("size") * rate).alias("got"), F.sum(F.when(free, F.col("n") * F.col("size") * x * rate).otherwise(0.0)).alias("slope"))
         )
-        joined = state.join(F.broadcast(at) if few else at, state["source"].eqNullSafe(at["source"]), "left").drop(at["source"])
+        joined = _with(state, at, few, "left")
         got, slope = F.coalesce("got", F.lit(0.0)), F.coalesce("slope", F.lit(0.0))
         gap = F.col("target") - got
         lo, hi = F.when(gap > 0, F.col("dual")).otherwise(F.col("lo")), F.when(gap < 0, F.col("dual")).otherwise(F.col("hi"))
@@ -110,41 +109,77 @@ def solve(hist: DataFrame, goal: DataFrame, few: bool) -> DataFrame:
     return state
 
 
-def _cut(rows: DataFrame, want: DataFrame, few: bool, lo: str, step: str, out: str) -> DataFrame:
-    """One level of the search: per source the first of STEPS_OF_CUT parts from lo, `step` wide each, that passes `want`."""
-    part = F.least(F.greatest(F.floor((F.col("v") - F.col(lo)) / F.col(step)), F.lit(-1)), F.lit(STEPS_OF_CUT)).cast("int")
-    hist = _with(rows, want, few).groupBy("source", part.alias("part")).agg(F.sum("size").alias("words"))
-    w = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
-    run = hist.select("source", "part", F.sum("words").over(w).alias("run"))
-    over = _with(run, want, few).where(F.col("run") > F.col("want")).groupBy("source").agg(F.min("part").alias("part"))
-    found = want.join(over, want["source"].eqNullSafe(over["source"]), "left").drop(over["source"])
-    return found.withColumn(out, F.col(lo) + F.coalesce("part", F.lit(STEPS_OF_CUT)) * F.col(step)).drop("part")
+def _cuts(rated: DataFrame) -> DataFrame:
+    """source -> cuts: per size class the first part whose documents get no further copy.
 
+    Walks a source's at most CLASSES * PARTS sums from its largest documents to its smallest; within a
+    class the documents likeliest to be taken come first. A part is taken while that brings the words so
+    far nearer to what the rates ask of this class and all larger ones, so each class makes up for the
+    rounding of those before it.
+    """
+    open_ = rated.where(F.col("rate") > F.col("base"))
+    sums = open_.groupBy("source", "class", "part").agg(F.sum("size").alias("words"), F.sum((F.col("rate") - F.col("base")) * F.col("size")).alias("due"))
+    by_class = Window.partitionBy("source").orderBy("class").rangeBetween(Window.unboundedPreceding, 0)
+    rows = sums.select("source", "class", "part", "words", F.sum("due").over(by_class).alias("goal"))
+    walk = rows.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("class", "part", "words", "goal"))).alias("parts"))
+    start = F.struct(F.lit(0.0).alias("taken"), F.lit(-1).alias("class"), F.lit(False).alias("over"), F.array().cast("array<struct<class:int,part:int>>").alias("cuts"))
 
-def mix(docs: DataFrame, share: float = SHARE) -> DataFrame:
-    """One row per row of docs: doc_id, size, source_size, target, taken (= copies * size), copies, rate."""
-    narrow = settle(sizes(docs), "sizes")
+    def step(acc, p):
+        over = (p["class"] == acc["class"]) & acc["over"]
+        take = ~over & (acc["taken"] + p["words"] / 2 <= p["goal"])
+        ends = ~over & ~take
+        cuts = F.when(ends, F.array_append(acc["cuts"], F.struct(p["class"].alias("class"), p["part"].alias("part")))).otherwise(acc["cuts"])
+        taken = acc["taken"] + F.when(take, p["words"].cast("double")).otherwise(F.lit(0.0))
+        return F.struct(taken.alias("taken"), p["class"].alias("class"), (over | ends).alias("over"), cuts.alias("cuts"))
+
+    return walk.select("source", F.map_from_entries(F.aggregate("parts", start, step)["cuts"]).alias("cuts"))
+
+
+def _rated(rows: DataFrame, plan: DataFrame, few: bool) -> DataFrame:
+    """rows (doc_id, source, size, ...) with source_size, target, rate, base, class and part."""
+    out = _with(rows, plan, few)
+    x = F.col("dual") * F.col("size") / F.col("mean")
+    rate = F.when(_full(), F.lit(MOST)).otherwise(F.least(F.lit(MOST), F.exp(F.least(x, F.lit(2.0)))))
+    out = out.withColumn("rate", F.when(F.col("size") > 0, rate).otherwise(F.lit(0.0))).withColumn("base", F.floor("rate"))
+    v = unit_hash("doc_id", "source", seed=3) - (F.col("rate") - F.col("base"))
+    rank = F.floor(F.log2(F.greatest(F.col("target"), F.lit(1.0)) / F.greatest("size", F.lit(1))))
+    return out.withColumn("part", F.floor((v + 1) * (PARTS / 2)).cast("int")).withColumn(
+        "class", F.least(F.greatest(rank, F.lit(0)), F.lit(CLASSES - 1)).cast("int")
+    )
+
+
+def plan_mix(narrow: DataFrame, share: float = SHARE) -> tuple[DataFrame, bool]:
+    """One row per source with all that its documents' copies depend on, and whether it may be broadcast."""
     hist = settle(narrow.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "histogram")
     per_source = hist.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("words"))
     goal = settle(targets(per_source, share), "targets")
     few = goal.count() <= BROADCAST_SOURCES
-    state = solve(hist, goal, few)
-    x = F.col("dual") * F.col("size") / F.col("mean")
-    rate = F.when(_full(), F.lit(MOST)).otherwise(F.least(F.lit(MOST), F.exp(F.least(x, F.lit(2.0)))))
-    rated = _with(narrow, state.select("source", "source_size", "target", "mean", "dual"), few)
-    rated = rated.select("doc_id", "source", "size", "source_size", "target", F.when(F.col("size") > 0, rate).otherwise(0.0).alias("rate"))
-    base = F.floor("rate")
-    rated = rated.withColumns({"base": base, "v": unit_hash("doc_id", "source", seed=3) - (F.col("rate") - base), "large": F.col("size") > LARGE * F.col("target")})
-    rated = settle(rated, "rates")
-    drawn = F.when(F.col("large"), F.col("size") * (F.col("base") + (F.col("v") < 0).cast("int"))).otherwise(F.col("size") * F.col("base"))
-    left = rated.groupBy("source").agg((F.max("target") - F.sum(drawn)).alias("want"))
-    # each small document with a fraction can give one more copy; at the cut, their words make up what is left
-    small = rated.where(~F.col("large") & (F.col("rate") > F.col("base"))).select("source", "size", "v")
-    step = 2.0 / STEPS_OF_CUT
-    want = settle(left.withColumns({"lo": F.lit(-1.0), "step": F.lit(step)}), "wanted")
-    coarse = settle(_cut(small, want, few, "lo", "step", "at").drop("lo", "step").withColumnsRenamed({"at": "lo"}).withColumn("step", F.lit(step / STEPS_OF_CUT)), "coarse")
-    fine = settle(_cut(small, coarse, few, "lo", "step", "cut").select("source", "cut"), "cuts")
-    out = _with(rated, fine, few)
-    more = F.when(F.col("rate") == F.col("base"), 0).when(F.col("large"), (F.col("v") < 0).cast("int")).otherwise((F.col("v") < F.col("cut")).cast("int"))
-    copies = (F.col("base") + more).cast("long")
-    return out.select("doc_id", "source", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), "rate")
+    plan = solve(hist, goal, few).select("source", "source_size", "target", "mean", "dual")
+    cuts = _cuts(_rated(narrow, plan, few))
+    return settle(_with(plan, cuts, few, "left"), "mix"), few
+
+
+def take(rows: DataFrame, plan: DataFrame, few: bool) -> DataFrame:
+    """rows (doc_id, source, size, ...) with source_size, target, rate, copies and taken; no row is moved where the plan is broadcast."""
+    out = _rated(rows, plan, few)
+    cut = F.coalesce(F.try_element_at("cuts", F.col("class")), F.lit(PARTS))
+    more = F.when((F.col("rate") > F.col("base")) & (cut > F.col("part")), 1).otherwise(0)
+    out = out.withColumn("copies", (F.col("base") + more).cast("long")).withColumn("taken", F.col("copies") * F.col("size"))
+    return out.drop("base", "part", "class", "mean", "dual", "cuts")
+
+
+def mix(docs: DataFrame, share: float = SHARE) -> DataFrame:
+    """One row per row of docs: doc_id, source, size, source_size, target, taken (= copies * size), copies, rate."""
+    narrow = settle(docs.select("doc_id", F.col("source").cast("string").alias("source"), size_of(F.col("text")).alias("size")), "sizes")
+    plan, few = plan_mix(narrow, share)
+    return take(narrow, plan, few).select("doc_id", "source", "size", "source_size", "target", "taken", "copies", "rate")
+
+
+def mixed(docs: DataFrame, share: float = SHARE) -> DataFrame:
+    """The mix itself: rows of docs, each as often as it is taken, with the columns of docs."""
+    narrow = settle(docs.select("doc_id", F.col("source").cast("string").alias("source"), size_of(F.col("text")).alias("size")), "sizes")
+    plan, few = plan_mix(narrow, share)
+    names = [F.col(f"row.{c}") for c in docs.columns]
+    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), size_of(F.col("text")).alias("size"), F.struct(*docs.columns).alias("row"))
+    chosen = take(rows, plan, few).where(F.col("copies") > 0)
+    return chosen.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*names)

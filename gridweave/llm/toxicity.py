@@ -341,16 +341,17 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
     return train([(i, r["toxic"], [w for w in bytes(r["words"]).split(b"\0") if w]) for i, r in first.items()])
 
 
+def scores(texts: list[str | None], m: dict) -> np.ndarray:
+    if m["weights"] is None:
+        return np.full(len(texts), m["share"])
+    f = np.maximum(worst_words([t or "" for t in texts], m["weights"]), 0.0) + m["bias"]
+    return 1 / (1 + np.exp(-np.clip(m["a"] * f + m["b"], -30, 30)))
+
+
 def _score(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            if m["weights"] is None:
-                score = np.full(len(texts), m["share"])
-            else:
-                f = np.maximum(worst_words(texts, m["weights"]), 0.0) + m["bias"]
-                score = 1 / (1 + np.exp(-np.clip(m["a"] * f + m["b"], -30, 30)))
+            score = scores(batch.column(1).to_pylist(), model.value)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], names=["doc_id", "score", "predicted"]
             )
@@ -365,3 +366,17 @@ def score_toxicity(docs: DataFrame, model: dict) -> DataFrame:
     out = rows.mapInArrow(_score(spark.sparkContext.broadcast(model)), "doc_id long, score double, predicted int")
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
+def _clean(model, at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(scores(batch.column(at).to_pylist(), model.value) < THRESHOLD))
+
+    return run
+
+
+def without_toxic(docs: DataFrame, model: dict) -> DataFrame:
+    """docs without the rows whose score reaches THRESHOLD, with their columns as they are."""
+    spark = prepare(docs.sparkSession)
+    return docs.mapInArrow(_clean(spark.sparkContext.broadcast(model), docs.columns.index("text")), docs.schema)
