@@ -1,0 +1 @@
+"""Arithmetic on cells."""

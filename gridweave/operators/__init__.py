@@ -1,0 +1 @@
+"""Measure aggregation by grain, metric arithmetic and the set algebra."""
