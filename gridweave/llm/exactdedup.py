@@ -26,7 +26,11 @@ from pyspark.sql import functions as F
 from .minhash import id_filter, slot_of, split_by_id
 from .runtime import new_path, prepare, settle
 
-_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk; without fallocate, which would reserve megabytes for each partition however little it holds.
+_STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def normalised(text):
@@ -36,10 +40,10 @@ def normalised(text):
 def _groups(digests: DataFrame) -> DataFrame:
     """digest -> keep (struct of doc_id, row, locator), group_size, by one run of the stream over what is there."""
     spark = digests.sparkSession
-    key, value = "spark.sql.streaming.stateStore.providerClass", _PROVIDER
-    before = spark.conf.get(key, None)
+    before = {key: spark.conf.get(key, None) for key in _STATE}
     out, log = new_path(spark, "stream-out"), new_path(spark, "stream-log")
-    spark.conf.set(key, value)
+    for key, value in _STATE.items():
+        spark.conf.set(key, value)
     try:
         rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "locator")
         stream = (
@@ -55,7 +59,8 @@ def _groups(digests: DataFrame) -> DataFrame:
         query = stream.writeStream.outputMode("update").option("checkpointLocation", log).foreachBatch(write).trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     schema = stream.schema
     try:
         found = spark.read.schema(f"{_ddl(schema)}, batch int").parquet(out)
