@@ -10,6 +10,7 @@ from .minhash import near_duplicates
 from .mixing import mix
 from .packing import pack
 from .quality import resample
+from .repeats import repeated_passages
 from .runtime import table
 from .tokencount import count_tokens
 from .toxicity import fit, score_toxicity
@@ -40,6 +41,10 @@ def op4_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op6_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), "byte_bpe_50k.json", limit=512)
 
@@ -66,6 +71,7 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op3_mixing": op3_mixing,
     "op4_urlfilter": op4_urlfilter,
+    "op5_repeats": op5_repeats,
     "op6_tokencount": op6_tokencount,
     "op7_toxicity": op7_toxicity,
     "op8_embedneighbours": op8_embedneighbours,
