@@ -33,3 +33,15 @@ def lookup(key: str | Column, mapping: dict[str, str], default: str = "Other") -
 
 def with_lookup(df: DataFrame, column: str, key: str, mapping: dict[str, str], default: str = "Other") -> DataFrame:
     return df.withColumn(column, lookup(key, mapping, default))
+
+
+def materialise(facts: DataFrame, path: str, *partition_by: str) -> DataFrame:
+    """Facts written once as Parquet, with their joins and derived levels done, and read back.
+
+    Partitioned by the levels that queries pin (a year, a scenario), their filters prune whole folders;
+    rows are dealt by those levels first, so that each folder gets few files, split where it is large.
+    """
+    rows = facts.hint("rebalance", *partition_by) if partition_by else facts
+    rows.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+    # the schema is given, so that a partition's value keeps its type and isn't guessed from its text
+    return facts.sparkSession.read.schema(facts.schema).parquet(path).select(*facts.columns)
