@@ -9,7 +9,8 @@ Training. A sentence is a bag of its words and carries its document's label; it
 word (multiple-instance learning: each toxic document's worst word is its positive example, every word of
 clean documents is a negative one, and worst words are chosen anew as the machine improves). A word's
 features are its kernel values with the landmarks, whitened by the landmarks' kernel matrix (Nystrom);
-the machine minimises squared hinge loss plus a ridge. Folded back through the landmarks it is one weight
+the machine minimises squared hinge loss plus a ridge. The commonest toxic words are also shown with a
+letter put in at each place, with a tenth of the weight, so that such spellings pass the threshold. Folded back through the landmarks it is one weight
 per subsequence, so scoring is linear in the text. Platt's sigmoid makes the margin a probability.
 
 Labels are learnt from at most TRAIN_ROWS rows of each class (those of smallest hash of the id), and at
@@ -39,6 +40,8 @@ LANDMARKS, ROUNDS = 160, 4
 DECAY, SPAN, RIDGE = 0.7, 6, 1e-3
 #: Words of clean training documents used as negatives (all hard ones, the others by hash).
 NEGATIVES = 30_000
+#: Positive words that are also shown with an inserted letter.
+SPOILT = 60
 THRESHOLD = 0.7
 
 BREAK, DROP = 0, 255
@@ -212,16 +215,16 @@ def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray) -> np.ndarray:
     return w
 
 
-def _platt(f: np.ndarray, positive: np.ndarray) -> tuple[float, float]:
+def _platt(f: np.ndarray, positive: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
     """a, b of 1 / (1 + exp(-(a f + b))) by Newton steps, with Platt's smoothed targets."""
-    p, n = positive.sum(), (~positive).sum()
+    p, n = weight[positive].sum(), weight[~positive].sum()
     t = np.where(positive, (p + 1) / (p + 2), 1 / (n + 2))
     x = np.stack((f, np.ones(len(f))), axis=1)
     w = np.array([1.0, 0.0])
     for _ in range(100):
         q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (q - t) + 1e-3 * np.array([w[0], 0])
-        hessian = (x * (q * (1 - q))[:, None]).T @ x + np.diag([1e-3, 1e-9])
+        gradient = x.T @ (weight * (q - t)) + 1e-3 * np.array([w[0], 0])
+        hessian = (x * (weight * q * (1 - q))[:, None]).T @ x + np.diag([1e-3, 1e-9])
         step = np.linalg.solve(hessian, gradient)
         w = w - step * min(1.0, 5 / max(1e-12, np.abs(step).max()))
         if np.abs(step).max() < 1e-8:
@@ -274,7 +277,7 @@ def train(rows: list[tuple[int, int, list[bytes]]]) -> dict:
     hard = np.concatenate([ranked(order[i : i + 5000]) for i in range(0, len(order), 5000)]) if order else np.zeros(0)
     top = [order[i] for i in np.argsort(-hard, kind="stable")[: NEGATIVES // 3]]
     negatives = list(dict.fromkeys(top + order[: NEGATIVES // 3] + sorted(order, key=lambda w: hash_of(w))[: NEGATIVES // 3]))
-    weights, bias = odds, 0.0
+    weights, bias, spoilt = odds, 0.0, []
     for _ in range(ROUNDS):
         count: dict[bytes, int] = {}
         for w in worst:
@@ -283,9 +286,12 @@ def train(rows: list[tuple[int, int, list[bytes]]]) -> dict:
         marks += [w for w in negatives[:: max(1, len(negatives) // (LANDMARKS // 2))] if w not in count][: LANDMARKS // 2]
         index, table = _landmark_table(marks)
         positives = sorted(count)
-        x = _features(positives + negatives, index, table)
-        y = np.concatenate((np.ones(len(positives)), -np.ones(len(negatives))))
-        cost = np.concatenate((np.array([count[w] for w in positives]) / len(worst), np.full(len(negatives), 1 / len(negatives)))) * 200
+        # the commonest of them with one letter put in, at each place: a tenth of the weight that they have
+        spoilt = sorted({v for w in sorted(count, key=lambda w: (-count[w], w))[:SPOILT] for v in with_letter(w)})
+        x = _features(positives + spoilt + negatives, index, table)
+        y = np.concatenate((np.ones(len(positives) + len(spoilt)), -np.ones(len(negatives))))
+        share_of = [np.array([count[w] for w in positives]) / len(worst), np.full(len(spoilt), 0.1 / max(1, len(spoilt))), np.full(len(negatives), 1 / len(negatives))]
+        cost = np.concatenate(share_of) * 200
         kernel = _features(marks, index, table).astype(np.float64)
         values, vectors = np.linalg.eigh((kernel + kernel.T) / 2)
         keep = values > 1e-4 * values.max()
@@ -298,10 +304,19 @@ def train(rows: list[tuple[int, int, list[bytes]]]) -> dict:
         worst = chosen(by_weights(weights))
     score = by_weights(weights)
     best = np.array([max(0.0, score(words).max()) if words else 0.0 for _, _, words in rows])
-    a, b = _platt(best + bias, np.array([bool(r[1]) for r in rows]))
+    # misspelt words count as toxic texts here, too, by a tenth of what the toxic ones weigh
+    spelt = np.maximum(score(spoilt), 0.0) if spoilt else np.zeros(0)
+    positive = np.concatenate((np.array([bool(r[1]) for r in rows]), np.ones(len(spelt), bool)))
+    weight = np.concatenate((np.ones(len(rows)), np.full(len(spelt), 0.1 * len(toxic) / max(1, len(spelt)))))
+    a, b = _platt(np.concatenate((best, spelt)) + bias, positive, weight)
     return {"weights": weights, "bias": bias, "a": a, "b": b, "share": float(share)}
 
 
+def with_letter(word: bytes) -> list[bytes]:
+    """The word with one letter, fixed by a hash, put in at each place but its ends."""
+    return [word[:i] + bytes([1 + hash_of(word + bytes([i])) % 26]) + word[i:] for i in range(1, len(word))]
+
+
 def hash_of(word: bytes) -> int:
     import zlib
 
