@@ -13,8 +13,8 @@ hold equal least hashes at equal offsets. The steps are those of the difference-
 3. Sort the other classes, per name, by the bytes ahead and by the reversed bytes behind, and compare
    adjacent prefixes: that bounds how far each sample's strings can repeat on either side, and settles
    it where one neighbour reaches the bound on both sides together.
-4. Merge the remaining suffixes: the few strings between a settled and a bounding extent are named
-   and counted one by one.
+4. Merge the remaining suffixes: the few strings between a settled and a bounding extent are named,
+   looked for among the name's other contexts, and counted.
 
 All sorts are range-partitioned, so a passage that a third of all documents share is split among tasks;
 counts are combined before the shuffle; texts are whole and matches stay within one text. Names, classes
@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .bytescan import U64, buffers, mix, prefix_hash, span_hash
 from .minhash import split_by_id
-from .runtime import prepare, settle
+from .runtime import discard, prepare, settle
 
 LENGTH, NAME = 200, 64
 BEHIND = LENGTH - NAME
@@ -205,10 +205,11 @@ _SEEN_NAMES = [x.split()[0] for x in _SEEN.split(", ")]
 _SEEN_TYPES = [pa.int64(), pa.int64(), *[pa.int32()] * 6, pa.binary(), pa.binary()]
 
 
-def _sorted_pass(contexts: DataFrame, first: str, second: str) -> DataFrame:
+def _sorted_pass(contexts: DataFrame, first: str, second: str, used: list) -> DataFrame:
     """name, ctx, back, front, low, high: what sorting by name, first and second shows of each context."""
     order = ["name", first, second, "ctx"]
     seen = settle(contexts.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_adjacent, _SEEN), "adjacent")
+    used.append(seen)
     # 2 * NEAR rows of each partition; partitions' ends meet the next partition's start
     edges = seen.where(F.col("edge").isNotNull()).select("edge", "place", "name", "ctx", "behind", "ahead").collect()
     rows = [(r["name"], r["ctx"], bytes(r["behind"]), bytes(r["ahead"])) for r in sorted(edges, key=lambda r: (r["edge"], r["place"]))]
@@ -220,18 +221,32 @@ def _sorted_pass(contexts: DataFrame, first: str, second: str) -> DataFrame:
     return out
 
 
-def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(name, ctx, n, behind, ahead, from, to) -> name, d, string hash, ctx, n for each offset d of from..to that fits."""
-    for batch in batches:
-        out = []
-        for name, ctx, n, behind, ahead, low, high in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            raw = np.frombuffer(behind[::-1] + ahead, np.uint8)
-            d = np.arange(max(low, LENGTH - len(ahead), 0), min(high, len(behind)) + 1)
-            if len(d):
+def _strings(bitmap):
+    """(name, ctx, n, behind, ahead, offsets) -> name, d, string hash, ctx, n for each offset d at which a string fits.
+
+    With a bitmap, only strings whose slot it holds.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = None if bitmap is None else np.frombuffer(bitmap.value, np.int64)
+        for batch in batches:
+            out = []
+            for name, ctx, n, behind, ahead, offsets in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                raw = np.frombuffer(behind[::-1] + ahead, np.uint8)
+                d = np.array(offsets, np.int64)
+                d = d[(d >= max(0, LENGTH - len(ahead))) & (d <= len(behind))]
+                if not len(d):
+                    continue
                 at = len(behind) - d
                 h = span_hash(prefix_hash(raw), at, at + LENGTH).view(np.int64)
-                out += [(name, int(x), int(y), ctx, n) for x, y in zip(d, h, strict=True)]
-        yield _batch(out, [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()], ["name", "d", "string", "ctx", "n"])
+                if bits is not None:
+                    slot = h % NAME_BITS
+                    hit = ((bits[slot >> 6] >> (slot & 63)) & 1).astype(bool)
+                    d, h = d[hit], h[hit]
+                out += [(name, x, y, ctx, n) for x, y in zip(d.tolist(), h.tolist(), strict=True)]
+            yield _batch(out, [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()], ["name", "d", "string", "ctx", "n"])
+
+    return run
 
 
 def _extents(docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -245,7 +260,8 @@ def _extents(docs: DataFrame, classes: DataFrame) -> DataFrame:
     _, texts = split_by_id(docs, asked.select("doc_id").distinct())
     cut = texts.dropDuplicates(["doc_id", "th"]).join(per_doc, ["doc_id", "th"]).select("text", "places")
     contexts = settle(cut.mapInArrow(_cut, "name long, ctx long, n long, behind_n int, behind binary, ahead binary"), "contexts")
-    seen = _sorted_pass(contexts, "behind", "ahead").unionByName(_sorted_pass(contexts, "ahead", "behind"))
+    used = [asked, contexts]
+    seen = _sorted_pass(contexts, "behind", "ahead", used).unionByName(_sorted_pass(contexts, "ahead", "behind", used))
     reach = seen.groupBy("name", "ctx").agg(F.max("back").alias("back"), F.max("front").alias("front"), F.min("low").alias("low"), F.max("high").alias("high"))
     single = classes.where(F.col("n") == 1).select("name", "ctx")
     reach = settle(reach.join(single, ["name", "ctx"], "left_semi").where(F.col("back") + F.col("front") >= LENGTH), "reach")
@@ -255,18 +271,26 @@ def _extents(docs: DataFrame, classes: DataFrame) -> DataFrame:
     top = F.when(none, least).otherwise(F.col("high") + 1)
     bottom = F.when(none, F.lit(-1)).otherwise(F.col("low") - 1)
     open_ = reach.select("name", "ctx", top.alias("t0"), F.col("back").alias("t1"), least.alias("b0"), bottom.alias("b1")).where((F.col("t0") <= F.col("t1")) | (F.col("b0") <= F.col("b1")))
-    spans = open_.select("name", F.when(F.col("t0") <= F.col("t1"), F.col("t0")).alias("t0"), F.when(F.col("t0") <= F.col("t1"), F.col("t1")).alias("t1"), F.when(F.col("b0") <= F.col("b1"), F.col("b0")).alias("b0"), F.when(F.col("b0") <= F.col("b1"), F.col("b1")).alias("b1"))
-    need = spans.groupBy("name").agg(F.min(F.least("t0", "b0")).alias("from"), F.max(F.greatest("t1", "b1")).alias("to"))
-    # a repeat's partner reaches as far as the repeat itself, so each context gives the strings within its own reach
-    bounds = reach.select("name", "ctx", least.alias("own_from"), F.col("back").alias("own_to"))
-    rows = contexts.join(settle(need, "open"), "name").join(bounds, ["name", "ctx"], "left")
-    rows = rows.select("name", "ctx", "n", "behind", "ahead", F.greatest("from", F.coalesce("own_from", F.lit(0))).cast("int").alias("from"), F.least("to", F.coalesce("own_to", F.lit(BEHIND))).cast("int").alias("to"))
-    strings = settle(rows.where(F.col("from") <= F.col("to")).mapInArrow(_strings, "name long, d int, string long, ctx long, n long"), "strings")
-    twice = strings.groupBy("name", "d", "string").agg(F.sum("n").alias("m")).where(F.col("m") > 1).select("name", "d", "string")
-    found = strings.join(twice, ["name", "d", "string"], "left_semi").select("name", "ctx", F.col("d").alias("low"), F.col("d").alias("high"))
-    known = reach.where(F.col("high") >= 0).select("name", "ctx", "low", "high").unionByName(found.join(single, ["name", "ctx"], "left_semi"))
+    asked_of = F.filter(
+        F.array_distinct(F.concat(*(F.when(F.col(x) <= F.col(y), F.sequence(x, y)).otherwise(F.array().cast("array<int>")) for x, y in (("t0", "t1"), ("b0", "b1"))))),
+        lambda d: (d >= 0) & (d <= BEHIND),
+    )
+    open_ = settle(open_.select("name", "ctx", asked_of.alias("offsets")), "open")
+    kinds = "name long, d int, string long, ctx long, n long"
+    sides = ("name", "ctx", "n", "behind", "ahead", "offsets")
+    wanted = settle(contexts.join(open_, ["name", "ctx"]).select(*sides).mapInArrow(_strings(None), kinds), "wanted")
+    # partners are all contexts of the name; of their strings only wanted ones leave the task, summed up
+    need = open_.select("name", F.explode("offsets").alias("d")).distinct().groupBy("name").agg(F.collect_list("d").alias("offsets"))
+    bitmap = docs.sparkSession.sparkContext.broadcast(_name_filter(wanted.select(F.col("string").alias("name"))))
+    partners = contexts.join(need, "name").select(*sides).mapInArrow(_strings(bitmap), kinds)
+    twice = partners.groupBy("name", "d", "string").agg(F.sum("n").alias("m")).where(F.col("m") > 1).select("name", "d", "string")
+    found = wanted.join(twice, ["name", "d", "string"], "left_semi").select("name", "ctx", F.col("d").alias("low"), F.col("d").alias("high"))
+    known = reach.where(F.col("high") >= 0).select("name", "ctx", "low", "high").unionByName(found)
     known = known.groupBy("name", "ctx").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    return whole.unionByName(known)
+    out = settle(whole.unionByName(known), "extents")
+    for table in (*used, reach, open_, wanted):
+        discard(table)
+    return out
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,7 +336,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
         "*", F.least("pos", F.lit(BEHIND)).alias("behind_n"), F.least(F.col("bytes") - F.col("pos"), F.lit(LENGTH)).alias("ahead_n")
     )
     classes = settle(classes, "classes")
-    extents = settle(_extents(docs, classes), "extents")
+    extents = _extents(docs, classes)
     spans = repeated.join(extents, ["name", "ctx"]).select("doc_id", "th", F.struct((F.col("pos") - F.col("high")).alias("start"), (F.col("pos") - F.col("low") + LENGTH).alias("end")).alias("span"))
     per_doc = settle(spans.groupBy("doc_id", "th").agg(F.collect_set("span").alias("spans")), "spans")
     clear, touched = split_by_id(docs, per_doc.select("doc_id").distinct())
