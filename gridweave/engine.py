@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from typing import Protocol, runtime_checkable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
-
 from pyspark.sql import types as T
 
 from .catalogue import Catalogue, Path, Relation
@@ -140,12 +140,18 @@ class SparkCube:
 
     def query_df(self, query: Query) -> DataFrame:
         """query()'s result as a table: one row per cell, with explicit positions; paths joined by "/", tuples by " × "."""
-        rows = list(tidy(self.query(query), query))
-        return self.facts.sparkSession.createDataFrame(rows, TIDY).coalesce(1)
+        return self._local(list(tidy(self.query(query), query)), TIDY)
+
+    def _local(self, rows: list[tuple], columns: str) -> DataFrame:
+        """Rows of the driver as a local relation, with no job to read them."""
+        fields = [x.split() for x in columns.split(", ")]
+        data = list(zip(*rows, strict=True)) or [()] * len(fields)
+        types = {"long": pa.int64(), "string": pa.string(), "double": pa.float64()}
+        return self.facts.sparkSession.createDataFrame(pa.table([pa.array(c, types[t]) for c, (_, t) in zip(data, fields, strict=True)], names=[n for n, _ in fields]))
 
     def members_df(self, members: list[MemberRef]) -> DataFrame:
         rows = [(i, m.dim, m.hierarchy, "/".join(m.path)) for i, m in enumerate(members)]
-        return self.facts.sparkSession.createDataFrame(rows, "ord long, dim string, hierarchy string, member string").coalesce(1)
+        return self._local(rows, "ord long, dim string, hierarchy string, member string")
 
 
 TIDY = "row_ord long, col_ord long, row string, col string, metric string, state string, value double, reason string"

@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -177,7 +178,9 @@ class Batch:
         for f in frames[1:]:
             out = out.unionByName(f)
         spark = self.facts.sparkSession
-        asked = spark.createDataFrame([(p, g, list(k)) for p, g, k in askers], "part int, grain int, key array<string>")
+        columns = list(zip(*askers, strict=True)) or [(), (), ()]
+        types = (pa.int32(), pa.int32(), pa.list_(pa.string()))
+        asked = spark.createDataFrame(pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["part", "grain", "key"]))
         if len(askers) <= MOST_BROADCAST:
             asked = F.broadcast(asked)
         return out.join(asked, ["part", "grain", "key"], "left_semi"), meaning, askers
