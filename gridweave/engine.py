@@ -8,12 +8,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .catalogue import Catalogue, Path, Relation
-from .errors import EvalSetCompositionIllFormed, LevelDtypeMismatch, MeasureDtypeMismatch, MissingLevelColumn, MissingMeasureColumn, UnknownHierarchy, ResolveUnknownLevel
+from .catalogue import Catalogue, Relation
+from .errors import EvalSetCompositionIllFormed, LevelDtypeMismatch, MeasureDtypeMismatch, MissingLevelColumn, MissingMeasureColumn, ResolveUnknownLevel, UnknownHierarchy
 from .operators.metrics import Evaluator, intersect
 from .operators.sets import tuples_of
 from .plans.resolve import Resolver
-from .query import Axes, Descendants, MemberRef, Query, Tuple
+from .query import Descendants, MemberRef, Query, Tuple
 from .results import Cell, Pivot, Rollup, Row, Scalar, Series
 from .schema import Schema
 
