@@ -326,7 +326,8 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     sampled = settle(docs.select("doc_id", "th", "text").mapInArrow(_sample, "doc_id long, th long, pos int, name long, ctx long"), "samples")
     names = sampled.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
     bitmap = spark.sparkContext.broadcast(_name_filter(names))
-    repeated = sampled.mapInArrow(_repeated_names(bitmap), sampled.schema)
+    repeated = settle(sampled.mapInArrow(_repeated_names(bitmap), sampled.schema), "repeated")
+    discard(sampled)
     place = F.struct("doc_id", "th", "pos")
     classes = repeated.groupBy("name", "ctx").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("at"))
     # extents need a class's own bounds: all its members have the same
