@@ -139,6 +139,38 @@ def test_vectors_empty_and_double(spark):
     assert got == [(1, 1, 1), (2, 0, 2), (2, 1, 1), (9, 0, 9)]
 
 
+@pytest.mark.parametrize("k", [0, 5])
+def test_vectors_of_a_crowded_label(spark, monkeypatch, k):
+    """A label whose vectors have a mean cosine of 0.8, with isolated pairs; by one bucket, dealt into blocks, and by many."""
+    from gridweave.llm import embedneighbours
+
+    monkeypatch.setattr(embedneighbours, "BUCKET", 1500, raising=False)
+    if k:
+
+        def fixed(*_):
+            passes = embedneighbours.passes_for(k, 0.93)
+            return lambda rows: rows[["label", "size"]].head(1).assign(k=k, passes=passes)
+
+        monkeypatch.setattr(embedneighbours, "_choose", fixed, raising=False)
+    rng = np.random.default_rng(5)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    x = unit(2 * unit(rng.standard_normal(64)) + unit(rng.standard_normal((6000, 64))))
+    x = np.concatenate((x, unit(x[:1000] + 0.35 * unit(rng.standard_normal((1000, 64))))))
+    rows = [(i, v, 1) for i, v in enumerate(x.astype(np.float32).tolist())]
+    got = {r["vec_id"]: r for r in near_vectors(vectors(spark, rows), 0.93).collect()}
+    m = unit(x.astype(np.float32).astype(np.float64))
+    near = m @ m.T >= 0.93
+    np.fill_diagonal(near, False)
+    u = brute.Union()
+    for i, j in zip(*np.nonzero(near), strict=True):
+        u.join(int(i), int(j))
+    links = near.sum(axis=1)
+    found = sum(r["n_links"] for r in got.values())
+    assert links.sum() >= 2000 and all(got[i]["n_links"] <= links[i] for i in got)
+    assert found >= 0.998 * links.sum(), (found, links.sum())
+    assert sum(got[i]["component_id"] != u.find(i) for i in got) <= 0.004 * len(rows)
+
+
 def test_components(spark):
     rng = random.Random(9)
     edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(300)] + [(k, k + 1) for k in range(1000, 1060)] + [(2000, k) for k in range(2001, 2200)] + [(None, 1), (7, 7)]
