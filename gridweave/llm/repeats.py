@@ -177,15 +177,18 @@ def _adjacent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     me = TaskContext.get().partitionId()
     head: list[tuple] = []
     carry: list[tuple] = []
+    total = 0
     for batch in batches:
         rows = list(zip(*(batch.column(i).to_pylist() for i in (0, 1, 4, 5)), strict=True))
         if not rows:
             continue
         if len(head) < NEAR:
             head += rows[: NEAR - len(head)]
+        total += len(rows)
         own = carry + rows
         yield _shown(own)
         carry = own[-NEAR:]
+    carry = carry[max(0, len(head) + len(carry) - total) :]  # a row of the head doesn't meet itself
     edges = [(r[0], r[1], None, None, None, None, 2 * me, i, r[2], r[3]) for i, r in enumerate(head)]
     edges += [(r[0], r[1], None, None, None, None, 2 * me + 1, i, r[2], r[3]) for i, r in enumerate(carry)]
     yield _batch(edges, _SEEN_TYPES, _SEEN_NAMES)

@@ -120,6 +120,19 @@ def test_repeats(make, awkward):
     assert repeated_passages(make([])).count() == 0
 
 
+def test_repeats_of_few_contexts(make):
+    """Texts that share less than a passage leave a few contexts to sort, none of which may meet itself."""
+    import hashlib
+
+    rng = random.Random(7)
+    text = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    for _ in range(3):
+        shared = text(150)
+        rows = [(1, text(300) + shared + text(300)), (2, text(300) + shared + text(300))]
+        got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in repeated_passages(make(rows)).collect()}
+        assert got == {i: (len(t), 0, 0, hashlib.sha256(t.encode()).hexdigest()) for i, t in rows}
+
+
 # --- tokens and packing
 
 
