@@ -325,7 +325,9 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (removed byte ranges)."""
     spark = prepare(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("th", F.xxhash64("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("own_id"), text.alias("text")).withColumn("th", F.xxhash64("text"))
+    # rows without an id go by their text's hash until the end
+    docs = docs.select(F.coalesce("own_id", "th").alias("doc_id"), "own_id", "text", "th")
     sampled = settle(docs.select("doc_id", "th", "text").mapInArrow(_sample, "doc_id long, th long, pos int, name long, ctx long"), "samples")
     names = sampled.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
     bitmap = spark.sparkContext.broadcast(_name_filter(names))
@@ -346,6 +348,6 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     clear, touched = split_by_id(docs, per_doc.select("doc_id").distinct())
     empty = F.array().cast("array<struct<start:int,end:int>>")
     zero = F.lit(0).cast("long")
-    same = clear.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"), empty.alias("spans"))
-    cut = touched.join(per_doc, ["doc_id", "th"], "left").select("doc_id", "text", F.coalesce("spans", empty).alias("spans"))
+    same = clear.select(F.col("own_id").alias("doc_id"), F.octet_length("text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"), empty.alias("spans"))
+    cut = touched.join(per_doc, ["doc_id", "th"], "left").select(F.col("own_id").alias("doc_id"), "text", F.coalesce("spans", empty).alias("spans"))
     return same.unionByName(cut.mapInArrow(_merge, _OUT))

@@ -133,6 +133,17 @@ def test_repeats_of_few_contexts(make):
         assert got == {i: (len(t), 0, 0, hashlib.sha256(t.encode()).hexdigest()) for i, t in rows}
 
 
+def test_repeats_in_rows_without_id(make):
+    import hashlib
+
+    rng = random.Random(8)
+    text = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    shared = text(400)
+    rows = [(i, text(250) + shared + text(250)) for i in (None, 1, 2)] + [(3, text(500))]
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in repeated_passages(make(rows)).collect()}
+    assert got == {i: (*v[0][:3], hashlib.sha256(v[0][3]).hexdigest()) for i, v in brute.repeats(rows, 200).items()}
+
+
 # --- tokens and packing
 
 
