@@ -1,13 +1,15 @@
 """Packing documents into fixed windows by Karmarkar-Karp multiway differencing.
 
 A document's tokens, with its end id, are cut into full windows and one remainder. Remainders are packed
-block by block: each starts as a partial partition with one filled slot; the two partitions of greatest
+block by block. First they are cut, where sums of whole ones couldn't meet a window: into parts of at most
+GRAIN tokens, and of every GRADED-th remainder the last part into halves of halves. Then differencing makes
+the windows: each part starts as a partial partition with one filled slot; the two partitions of greatest
 imbalance merge, largest slots meeting smallest, until one is left whose slots are the windows, near-equal
-in size. Whenever the capacity is exceeded the number of windows rises; where that would add more padding
-than SLACK allows, the excess is cut off (cuts are free) and fills the room of the smaller windows.
+in size. Whenever one exceeds the capacity, the block is differenced again with one window more; nothing
+is cut or moved afterwards.
 
 Blocks are formed within the tasks that read the documents, so packing shuffles nothing and holds one
-block in memory. The last block of a task may leave up to one window part empty.
+block in memory. A block leaves at most about one window's room empty, unless its windows had to rise.
 
 Defined results: null is the empty text and gives one piece, its end id; repeated rows are packed each on
 their own; extra columns are ignored; an empty table gives an empty one. Sequence ids are unique, not dense.
@@ -19,6 +21,7 @@ import heapq
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -27,86 +30,70 @@ from pyspark.sql import functions as F
 from .pretokens import encoder
 from .runtime import prepare
 
-#: Remainders packed at a time, and the part of a block's tokens that more windows may add as padding.
-BLOCK, SLACK = 384, 0.006
+#: Remainders packed at a time.
+BLOCK = 768
+#: Tokens of a part at most, which remainders are cut to the smallest parts, and the size of those.
+GRAIN, GRADED, LEAST = 512, 4, 2
 END = (0).to_bytes(4, "little")
 
 
 def differencing(sizes: list[int], k: int) -> list[list[int]]:
-    """Indices of sizes in k parts of near-equal sums."""
-    # a partition: slots (sum, tree of indices) by falling sum; slots beyond its length are empty
-    heap = [(-size, i, [(size, i)]) for i, size in enumerate(sizes)]
+    """Indices of sizes in k parts of near-equal sums; the part of greatest sum first."""
+    # a partition is its k slots' sums in falling order; merged ones also say which slots met
+    slots = np.zeros((len(sizes), k), np.int64)
+    slots[:, 0] = sizes
+    sums = list(slots)
+    met: list[tuple[int, int, np.ndarray]] = []
+    heap = [(-size, i) for i, size in enumerate(sizes)]
     heapq.heapify(heap)
-    serial = len(sizes)
     while len(heap) > 1:
-        _, _, a = heapq.heappop(heap)
-        _, _, b = heapq.heappop(heap)
-        over = len(a) + len(b) - k
-        if over <= 0:
-            c = a + b
-        else:
-            # the smallest `over` slots of a meet the largest of b in opposite order; all others meet empty ones
-            keep = len(a) - over
-            c = a[:keep] + b[over:] + [(x[0] + y[0], (x[1], y[1])) for x, y in zip(a[keep:], reversed(b[:over]), strict=True)]
-        c.sort(key=_sum, reverse=True)
-        serial += 1
-        heapq.heappush(heap, ((c[-1][0] if len(c) == k else 0) - c[0][0], serial, c))
-    out = []
-    for _, tree in heap[0][2] if heap else []:
-        found, stack = [], [tree]
-        while stack:
-            x = stack.pop()
-            if isinstance(x, tuple):
-                stack += x
-            else:
-                found.append(x)
-        out.append(sorted(found))
+        a, b = heapq.heappop(heap)[1], heapq.heappop(heap)[1]
+        both = sums[a] + sums[b][::-1]
+        order = np.argsort(-both, kind="stable")
+        both = both[order]
+        sums[a] = sums[b] = None
+        met.append((a, b, order))
+        sums.append(both)
+        heapq.heappush(heap, (int(both[-1] - both[0]), len(sums) - 1))
+    # from the last merge back: which window each slot of each partition has become
+    window: list[np.ndarray | None] = [None] * len(sums)
+    window[-1:] = [np.arange(k)]
+    for at in range(len(met) - 1, -1, -1):
+        a, b, order = met[at]
+        own = window[len(sizes) + at]
+        window[a], window[b] = np.empty(k, np.int64), np.empty(k, np.int64)
+        window[a][order] = own
+        window[b][k - 1 - order] = own
+        window[len(sizes) + at] = None
+    out: list[list[int]] = [[] for _ in range(k)]
+    for i in range(len(sizes)):
+        out[int(window[i][0])].append(i)
     return out
 
 
-def _sum(slot):
-    return slot[0]
+def parts_of(item: int, size: int, grain: int) -> list[tuple[int, int, int]]:
+    """(item, start, length) of the parts that a remainder is cut into before differencing."""
+    # the first cut differs by item, so that equal remainders give parts of many sizes
+    first = max(1, grain - int(grain / 2 * (item * 0.6180339887498949 % 1)))
+    edges = [0, *range(first, size, grain), size]
+    if item % GRADED == 0:
+        rest = size - edges[-2]
+        while rest > LEAST:
+            rest //= 2
+            edges.insert(-1, size - rest)
+    return [(item, a, b - a) for a, b in zip(edges, edges[1:], strict=False) if b > a]
 
 
 def pack_block(sizes: list[int], capacity: int) -> tuple[list[tuple[int, int, int]], list[list[int]]]:
     """Pieces (item, start in it, length), and windows as lists of pieces, each of at most capacity."""
-    pieces = [(i, 0, n) for i, n in enumerate(sizes)]
-    total = sum(sizes)
-    least = -(-total // capacity)
-    windows: list[list[int]] = []
-    for k in range(least, max(least, int(total * (1 + SLACK) / capacity)) + 1):
-        windows = differencing(sizes, k)
-        if all(sum(sizes[p] for p in w) <= capacity for w in windows):
-            return pieces, windows
-    # cut what each window has too much off its largest piece, and fill the others' room with it
-    spare, room = [], []
-    for w in windows:
-        excess = sum(sizes[p] for p in w) - capacity
-        if excess < 0:
-            room.append([-excess, w])
-        while excess > 0:
-            p = max(w, key=lambda x: pieces[x][2])
-            i, start, n = pieces[p]
-            cut = min(excess, n)
-            pieces[p] = (i, start, n - cut)
-            spare.append((i, start + n - cut, cut))
-            if cut == n:
-                w.remove(p)
-            excess -= cut
-    room.sort(key=lambda x: -x[0])
-    for i, start, n in sorted(spare, key=lambda x: -x[2]):
-        while n:
-            free, w = room[0]
-            put = min(free, n)
-            w.append(len(pieces))
-            pieces.append((i, start, put))
-            start, n = start + put, n - put
-            room[0][0] -= put
-            if room[0][0] == 0:
-                room.pop(0)
-            else:
-                room.sort(key=lambda x: -x[0])
-    return pieces, windows
+    pieces = [p for i, n in enumerate(sizes) for p in parts_of(i, n, max(1, min(GRAIN, capacity // 2)))]
+    lengths = [n for _, _, n in pieces]
+    k = max(1, -(-sum(lengths) // capacity))
+    while True:
+        windows = differencing(lengths, k)
+        if all(sum(lengths[p] for p in w) <= capacity for w in windows):
+            return pieces, [w for w in windows if w]
+        k += 1
 
 
 _SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"

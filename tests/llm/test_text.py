@@ -188,11 +188,31 @@ def test_differencing_is_near_equal():
     parts = differencing(sizes, 20)
     sums = [sum(sizes[i] for i in p) for p in parts]
     assert sorted(i for p in parts for i in p) == list(range(300)) and max(sums) - min(sums) <= 0.01 * sum(sums) / 20
-    for n in (1, 2, 50):
-        own = [rng.randrange(1, 1024) for _ in range(n)]
-        pieces, windows = pack_block(own, 1024)
-        assert all(sum(pieces[p][2] for p in w) <= 1024 for w in windows)
-        assert sum(pieces[p][2] for w in windows for p in w) == sum(own)
+
+
+def test_windows_come_from_differencing(monkeypatch):
+    """Every window is a part that differencing gave, the count rises until all fit, and pieces tile their items."""
+    from gridweave.llm import packing
+
+    calls = []
+
+    def counted(sizes, k):
+        calls.append((k, differencing(sizes, k)))
+        return calls[-1][1]
+
+    monkeypatch.setattr(packing, "differencing", counted)
+    rng = random.Random(5)
+    for capacity, own in ((1024, [1]), (1024, [1023, 1]), (1024, [rng.randrange(1, 1024) for _ in range(768)]), (4, [3, 3, 3]), (1, [1, 1]), (1024, [600] * 90)):
+        calls.clear()
+        pieces, windows = pack_block(own, capacity)
+        assert windows == [w for w in calls[-1][1] if w] and [k for k, _ in calls] == list(range(calls[0][0], calls[-1][0] + 1))
+        assert all(sum(pieces[p][2] for p in w) <= capacity for w in windows)
+        assert all(any(sum(pieces[p][2] for p in w) > capacity for w in parts) for _, parts in calls[:-1])
+        tiled = [(i, x) for i, start, n in sorted(pieces) for x in range(start, start + n)]
+        assert tiled == [(i, x) for i, n in enumerate(own) for x in range(n)]
+        assert sorted(p for w in windows for p in w) == list(range(len(pieces)))
+        if len(own) > 100:
+            assert len(windows) <= 1.01 * sum(own) / capacity
 
 
 # --- mixing
