@@ -183,6 +183,14 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_state_of_many_edges(spark):
+    from gridweave.llm import graph
+
+    edges = spark.range(20_000_000).selectExpr("id AS a", "id + 1 AS b")
+    n, h = graph._state(edges)
+    assert n == 20_000_000 and (n, h) == graph._state(edges.repartition(3)) and (n, h) != graph._state(edges.selectExpr("a", "a + 2 AS b"))
+
+
 # --- URLs
 
 
