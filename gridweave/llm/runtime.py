@@ -92,6 +92,19 @@ def discard(df: DataFrame | None) -> None:
         _delete(df.sparkSession, df._settled)
 
 
+def columns_of(df: DataFrame) -> list:
+    """All columns of df, whatever characters their names have."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
