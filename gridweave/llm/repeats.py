@@ -32,21 +32,20 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytescan import U64, buffers, mix, prefix_hash, span_hash
-from .minhash import split_by_id
 from .runtime import discard, prepare, settle
+from .sieve import Sieve
 
 LENGTH, NAME = 200, 64
 BEHIND = LENGTH - NAME
 #: Sorted neighbours on either side that a context is compared with.
 NEAR = 6
-#: Bits of the filter of repeated names: 4 MB broadcast, whatever the input.
-NAME_BITS = 1 << 25
 
 
 def _slide(x: np.ndarray, width: int, function) -> np.ndarray:
@@ -97,26 +96,6 @@ def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _name_filter(names: DataFrame) -> bytes:
-    slot = F.pmod("name", F.lit(NAME_BITS))
-    words = names.select(F.floor(slot / 64).cast("int").alias("w"), F.pmod(slot, F.lit(64)).cast("int").alias("b"))
-    out = np.zeros(NAME_BITS // 64, np.int64)
-    # at most NAME_BITS / 64 rows
-    for w, bits in words.groupBy("w").agg(F.expr("bit_or(shiftleft(1L, b))")).toLocalIterator():
-        out[w] = bits
-    return out.tobytes()
-
-
-def _repeated_names(bitmap):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(bitmap.value, np.int64)
-        for batch in batches:
-            slot = batch.column(3).to_numpy() % NAME_BITS
-            yield batch.filter(pa.array(((bits[slot >> 6] >> (slot & 63)) & 1).astype(bool)))
-
-    return run
-
-
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(text, places: array of (name, ctx, n, pos)) -> name, ctx, n, behind, context, and both sides as sort keys."""
     for batch in batches:
@@ -169,43 +148,43 @@ def _neighbours(names: np.ndarray, behind: list[bytes], ahead: list[bytes]) -> t
     return back, front, low, high
 
 
-_SEEN = "name long, ctx long, back int, front int, low int, high int, edge int, place int, behind binary, ahead binary"
+_SEEN = "name long, ctx long, back int, front int, low int, high int, edge int, side int, place int, behind binary, ahead binary"
 
 
 def _adjacent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A sorted partition: what neighbours show, and its first and last NEAR rows for the neighbouring partitions."""
+    """A sorted partition: what neighbours show, and its first and last NEAR rows (edge not null) for the neighbouring partitions."""
     me = TaskContext.get().partitionId()
     head: list[tuple] = []
     carry: list[tuple] = []
-    total = 0
     for batch in batches:
         rows = list(zip(*(batch.column(i).to_pylist() for i in (0, 1, 4, 5)), strict=True))
         if not rows:
             continue
         if len(head) < NEAR:
             head += rows[: NEAR - len(head)]
-        total += len(rows)
         own = carry + rows
         yield _shown(own)
         carry = own[-NEAR:]
-    carry = carry[max(0, len(head) + len(carry) - total) :]  # a row of the head doesn't meet itself
-    edges = [(r[0], r[1], None, None, None, None, 2 * me, i, r[2], r[3]) for i, r in enumerate(head)]
-    edges += [(r[0], r[1], None, None, None, None, 2 * me + 1, i, r[2], r[3]) for i, r in enumerate(carry)]
-    yield _batch(edges, _SEEN_TYPES, _SEEN_NAMES)
+    none = (None,) * 4
+    yield _batch([(*r[:2], *none, me, side, i, *r[2:]) for side, part in ((1, head), (0, carry)) for i, r in enumerate(part)], _SEEN_TYPES, _SEEN_NAMES)
 
 
 def _shown(rows: list[tuple]) -> pa.RecordBatch:
     names = np.array([r[0] for r in rows], np.int64)
-    back, front, low, high = _neighbours(names, [r[2] for r in rows], [r[3] for r in rows])
-    n = len(rows)
-    none = [None] * n
-    return _batch(
-        list(zip(names.tolist(), [r[1] for r in rows], back.tolist(), front.tolist(), low.tolist(), high.tolist(), none, none, none, none, strict=True)), _SEEN_TYPES, _SEEN_NAMES
-    )
+    found = _neighbours(names, [r[2] for r in rows], [r[3] for r in rows])
+    none = [None] * len(rows)
+    return _batch(list(zip(names.tolist(), [r[1] for r in rows], *(x.tolist() for x in found), *[none] * 5, strict=True)), _SEEN_TYPES, _SEEN_NAMES)
 
 
 _SEEN_NAMES = [x.split()[0] for x in _SEEN.split(", ")]
-_SEEN_TYPES = [pa.int64(), pa.int64(), *[pa.int32()] * 6, pa.binary(), pa.binary()]
+_SEEN_TYPES = [pa.int64(), pa.int64(), *[pa.int32()] * 7, pa.binary(), pa.binary()]
+_REACH = ["name", "ctx", "back", "front", "low", "high"]
+
+
+def _border(rows: pd.DataFrame) -> pd.DataFrame:
+    """The last rows of a partition and the first of the next, 2 * NEAR at most, as neighbours of each other."""
+    rows = rows.sort_values(["side", "place"])
+    return _shown(list(zip(rows["name"], rows["ctx"], rows["behind"], rows["ahead"], strict=True))).select(_REACH).to_pandas()
 
 
 def _sorted_pass(contexts: DataFrame, first: str, second: str, used: list) -> DataFrame:
@@ -213,25 +192,24 @@ def _sorted_pass(contexts: DataFrame, first: str, second: str, used: list) -> Da
     order = ["name", first, second, "ctx"]
     seen = settle(contexts.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_adjacent, _SEEN), "adjacent")
     used.append(seen)
-    # 2 * NEAR rows of each partition; partitions' ends meet the next partition's start
-    edges = seen.where(F.col("edge").isNotNull()).select("edge", "place", "name", "ctx", "behind", "ahead").collect()
-    rows = [(r["name"], r["ctx"], bytes(r["behind"]), bytes(r["ahead"])) for r in sorted(edges, key=lambda r: (r["edge"], r["place"]))]
-    out = seen.where(F.col("edge").isNull()).select("name", "ctx", "back", "front", "low", "high")
-    if rows:
-        more = _shown(rows).to_pylist()
-        spark = contexts.sparkSession
-        out = out.unionByName(spark.createDataFrame([(r["name"], r["ctx"], r["back"], r["front"], r["low"], r["high"]) for r in more], out.schema))
-    return out
-
-
-def _strings(bitmap):
+    out = seen.where(F.col("edge").isNull()).select(*_REACH)
+    # the numbers of partitions that aren't empty, one for each task: the driver held as many to run them
+    parts = sorted(r[0] for r in seen.where("side = 0").select("edge").distinct().collect())
+    if len(parts) < 2:
+        return out
+    before = contexts.sparkSession.createDataFrame(list(zip(parts[1:], parts, strict=False)), "edge int, before int")
+    ends = seen.where("side = 0").withColumn("before", F.col("edge")).unionByName(seen.where("side = 1").join(F.broadcast(before), "edge").select(*seen.columns, "before"))
+    meeting = ends.select("before", "side", "place", "name", "ctx", "behind", "ahead").groupBy("before")
+    return out.unionByName(meeting.applyInPandas(_border, out.schema))
+
+
+def _strings(sieve: Sieve | None):
     """(name, ctx, n, behind, ahead, offsets) -> name, d, string hash, ctx, n for each offset d at which a string fits.
 
-    With a bitmap, only strings whose slot it holds.
+    With a sieve, only strings that it may hold.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = None if bitmap is None else np.frombuffer(bitmap.value, np.int64)
         for batch in batches:
             out = []
             for name, ctx, n, behind, ahead, offsets in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -242,9 +220,8 @@ def _strings(bitmap):
                     continue
                 at = len(behind) - d
                 h = span_hash(prefix_hash(raw), at, at + LENGTH).view(np.int64)
-                if bits is not None:
-                    slot = h % NAME_BITS
-                    hit = ((bits[slot >> 6] >> (slot & 63)) & 1).astype(bool)
+                if sieve is not None:
+                    hit = sieve.hits(h)
                     d, h = d[hit], h[hit]
                 out += [(name, x, y, ctx, n) for x, y in zip(d.tolist(), h.tolist(), strict=True)]
             yield _batch(out, [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()], ["name", "d", "string", "ctx", "n"])
@@ -258,12 +235,14 @@ def _extents(docs: DataFrame, classes: DataFrame) -> DataFrame:
         "name", "ctx", (F.lit(LENGTH) - F.col("ahead_n")).alias("low"), F.col("behind_n").alias("high")
     )  # equal contexts: all strings of theirs repeat
     several = classes.groupBy("name").agg(F.count(F.lit(1)).alias("k"), F.sum(F.when(F.col("n") == 1, 1).otherwise(0)).alias("single")).where((F.col("k") > 1) & (F.col("single") > 0))
-    asked = settle(classes.join(several.select("name"), "name", "left_semi").select("name", "ctx", "n", "doc_id", "th", "pos"), "asked")
-    per_doc = asked.groupBy("doc_id", "th").agg(F.collect_list(F.struct("name", "ctx", "n", "pos")).alias("places"))
-    _, texts = split_by_id(docs, asked.select("doc_id").distinct())
+    # written first: both sides of the join are then plain exchanges, and a name of very many contexts can be split
+    several = settle(several.select("name"), "several")
+    asked = settle(classes.join(several, "name", "left_semi").select("name", "ctx", "n", "doc_id", "th", "pos"), "asked")
+    per_doc = settle(asked.groupBy("doc_id", "th").agg(F.collect_list(F.struct("name", "ctx", "n", "pos")).alias("places")), "places")
+    texts = Sieve(per_doc, "doc_id").maybe(docs, "doc_id")
     cut = texts.dropDuplicates(["doc_id", "th"]).join(per_doc, ["doc_id", "th"]).select("text", "places")
     contexts = settle(cut.mapInArrow(_cut, "name long, ctx long, n long, behind_n int, behind binary, ahead binary"), "contexts")
-    used = [asked, contexts]
+    used = [several, asked, per_doc, contexts]
     seen = _sorted_pass(contexts, "behind", "ahead", used).unionByName(_sorted_pass(contexts, "ahead", "behind", used))
     reach = seen.groupBy("name", "ctx").agg(F.max("back").alias("back"), F.max("front").alias("front"), F.min("low").alias("low"), F.max("high").alias("high"))
     single = classes.where(F.col("n") == 1).select("name", "ctx")
@@ -283,9 +262,12 @@ def _extents(docs: DataFrame, classes: DataFrame) -> DataFrame:
     sides = ("name", "ctx", "n", "behind", "ahead", "offsets")
     wanted = settle(contexts.join(open_, ["name", "ctx"]).select(*sides).mapInArrow(_strings(None), kinds), "wanted")
     # partners are all contexts of the name; of their strings only wanted ones leave the task, summed up
-    need = open_.select("name", F.explode("offsets").alias("d")).distinct().groupBy("name").agg(F.collect_list("d").alias("offsets"))
-    bitmap = docs.sparkSession.sparkContext.broadcast(_name_filter(wanted.select(F.col("string").alias("name"))))
-    partners = contexts.join(need, "name").select(*sides).mapInArrow(_strings(bitmap), kinds)
+    need = settle(open_.select("name", F.explode("offsets").alias("d")).distinct().groupBy("name").agg(F.collect_list("d").alias("offsets")), "need")
+    used.append(need)
+    sieve = Sieve(wanted, "string", hashed=True)
+    partners = contexts.join(need, "name").select(*sides).mapInArrow(_strings(None if sieve.bitmap is None else sieve), kinds)
+    if sieve.bitmap is None:
+        partners = partners.join(wanted.select("name", "d", "string"), ["name", "d", "string"], "left_semi")
     twice = partners.groupBy("name", "d", "string").agg(F.sum("n").alias("m")).where(F.col("m") > 1).select("name", "d", "string")
     found = wanted.join(twice, ["name", "d", "string"], "left_semi").select("name", "ctx", F.col("d").alias("low"), F.col("d").alias("high"))
     known = reach.where(F.col("high") >= 0).select("name", "ctx", "low", "high").unionByName(found)
@@ -323,16 +305,16 @@ _OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 str
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (removed byte ranges)."""
-    spark = prepare(docs.sparkSession)
+    prepare(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     docs = docs.select(F.col("doc_id").cast("long").alias("own_id"), text.alias("text")).withColumn("th", F.xxhash64("text"))
     # rows without an id go by their text's hash until the end
     docs = docs.select(F.coalesce("own_id", "th").alias("doc_id"), "own_id", "text", "th")
     sampled = settle(docs.select("doc_id", "th", "text").mapInArrow(_sample, "doc_id long, th long, pos int, name long, ctx long"), "samples")
-    names = sampled.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    bitmap = spark.sparkContext.broadcast(_name_filter(names))
-    repeated = settle(sampled.mapInArrow(_repeated_names(bitmap), sampled.schema), "repeated")
+    names = settle(sampled.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("name"), "names")
+    repeated = settle(Sieve(names, "name", hashed=True).maybe(sampled, "name"), "repeated")
     discard(sampled)
+    discard(names)
     place = F.struct("doc_id", "th", "pos")
     classes = repeated.groupBy("name", "ctx").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("at"))
     # extents need a class's own bounds: all its members have the same
@@ -345,7 +327,8 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     extents = _extents(docs, classes)
     spans = repeated.join(extents, ["name", "ctx"]).select("doc_id", "th", F.struct((F.col("pos") - F.col("high")).alias("start"), (F.col("pos") - F.col("low") + LENGTH).alias("end")).alias("span"))
     per_doc = settle(spans.groupBy("doc_id", "th").agg(F.collect_set("span").alias("spans")), "spans")
-    clear, touched = split_by_id(docs, per_doc.select("doc_id").distinct())
+    sieve = Sieve(per_doc, "doc_id")
+    clear, touched = sieve.surely_not(docs, "doc_id"), sieve.maybe(docs, "doc_id")
     empty = F.array().cast("array<struct<start:int,end:int>>")
     zero = F.lit(0).cast("long")
     same = clear.select(F.col("own_id").alias("doc_id"), F.octet_length("text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"), empty.alias("spans"))
