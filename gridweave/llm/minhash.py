@@ -1,15 +1,21 @@
 """Near-duplicate documents by min-max hashing.
 
 Every permutation is evaluated once per shingle and gives two signature values, its minimum and its
-maximum. Bands of values are the keys of candidate buckets. A bucket's members are tied to the bucket's
-smallest document (a star, never all pairs); what a star leaves in several components is then compared
-across those components, filtered inside the join by a one-bit sketch and by bitmaps that bound the
-similarity from above. Each candidate link is confirmed on the full shingle sets before it counts.
+maximum. Bands of values are the keys of candidate buckets. Texts of equal shingle sets are one class, and
+a bucket's classes are tied to the bucket's first (a star, never all pairs); each tie is confirmed on the
+full sets before it counts.
+
+Classes that share a bucket but not a component after that are compared across components by an exact
+prefix-filter join: sets at the threshold share at least one of their rarest shingles (of a set of n, the
+n - ceil(0.8 n) + 1 rarest), so only those are joined, not the buckets. A passage that very many texts
+share is not among the rarest, and brings no pairs. Rarity is read from a table of hashed counts, whose
+size is bounded; any fixed order is exact, rare first saves pairs. Members of one component aren't paired.
 
 Defined results: null or word-less text has no shingles and links with nothing; a text with fewer words
 than a shingle is one shingle; documents with equal sets are one class and share a component; a doc_id
-that occurs in several rows gets one row for each, judged by its own text; extra columns are ignored; an
-empty table gives an empty one.
+that occurs in several rows gets one row for each, judged by its own text; a row without doc_id is
+compared like any other, counts for no component's id, and is kept only where its group has no id at all;
+extra columns are ignored; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -23,7 +29,8 @@ from pyspark.sql import functions as F
 
 from .bytescan import LOWER, U64, buffers, mix, prefix_hash, span_hash, words
 from .graph import components
-from .runtime import discard, prepare, settle
+from .runtime import columns_of, discard, fresh, prepare, settle
+from .sieve import Sieve
 
 #: Values per band and number of bands; two values come from each of ROWS * BANDS / 2 permutations.
 #: A pair at similarity 0.8 escapes every band with probability (1 - 0.8**6)**32 = 6e-5, at 0.85 with 3e-7.
@@ -31,10 +38,8 @@ ROWS, BANDS = 6, 32
 PERMUTATIONS = ROWS * BANDS // 2
 #: One-bit sketch: pairs at similarity 0.8 differ in 12.8 of 128 bits, standard deviation 3.4.
 SKETCH_BITS, SKETCH_MOST = 128, 30
-#: Bits of a set's bitmap. A bit that only one of two sets has is at least one shingle that only it has.
-BITMAP = 4096
-#: Bits of the fixed-size filter (1 MB) that spares most documents the second scan; past its capacity it only saves less.
-FILTER_BITS = 1 << 23
+#: Most hashed counts of shingles, 4 bytes each.
+COUNTERS = 1 << 22
 
 _KEYS = mix(np.arange(1, PERMUTATIONS + 1, dtype=U64))
 _MULT = mix(np.arange(1001, PERMUTATIONS + 1001, dtype=U64)) | U64(1)
@@ -82,189 +87,202 @@ def signature(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys.view(np.int64), sketch.view(np.int64)
 
 
-_SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, sketch_a long, sketch_b long"
+_SIGNED = "doc_id long, th long, n_shingles long, set_a long, set_b long, bands array<long>, sketch_a long, sketch_b long"
+
+
+def _identity(x: np.ndarray) -> list[int]:
+    """128 bits that name a shingle set."""
+    order = mix(x + U64(0x1234567))
+    return np.array([order.sum(dtype=U64), np.bitwise_xor.reduce(mix(order ^ U64(99)))], U64).view(np.int64).tolist()
 
 
 def _sign(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema(
-            [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()),
-             ("bands", pa.list_(pa.int64())), ("sketch_a", pa.int64()), ("sketch_b", pa.int64())]
-        )
+        longs = pa.list_(pa.int64())
         for batch in batches:
             sets, bounds = shingle_sets(batch.column(1), size)
             n = batch.num_rows
-            count = np.diff(bounds)
             ident, bands, sketch = np.zeros((n, 2), np.int64), [], np.zeros((n, 2), np.int64)
             for k in range(n):
                 x = sets[bounds[k] : bounds[k + 1]]
                 if not len(x):
                     bands.append(np.zeros(0, np.int64))
                     continue
-                order = mix(x + U64(0x1234567))
-                ident[k] = np.array([order.sum(dtype=U64), np.bitwise_xor.reduce(mix(order ^ U64(99)))], U64).view(np.int64)
+                ident[k] = _identity(x)
                 keys, sketch[k] = signature(x)
                 bands.append(keys)
             off = np.concatenate(([0], np.cumsum([len(b) for b in bands]))).astype(np.int32)
             values = np.concatenate(bands) if bands else np.zeros(0, np.int64)
+            column = lambda x: pa.array(x.copy())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), pa.array(count), pa.array(ident[:, 0].copy()), pa.array(ident[:, 1].copy()),
-                 pa.ListArray.from_arrays(pa.array(off), pa.array(values)), pa.array(sketch[:, 0].copy()), pa.array(sketch[:, 1].copy())],
-                schema=schema,
+                [batch.column(0), batch.column(2), pa.array(np.diff(bounds)), column(ident[:, 0]), column(ident[:, 1]),
+                 pa.ListArray.from_arrays(pa.array(off), pa.array(values)).cast(longs), column(sketch[:, 0]), column(sketch[:, 1])],
+                names=[x.split()[0] for x in _SIGNED.split(", ")],
             )
 
     return run
 
 
-def slot_of(column: str):
-    return F.pmod(F.xxhash64(F.lit(5), F.col(column)), F.lit(FILTER_BITS))
+def _sets(size: int):
+    """(place, text, th) -> place, th and the shingles of each text; a row that repeats in a task is read once."""
 
-
-def id_filter(ids: DataFrame, column: str) -> bytes:
-    """A FILTER_BITS wide bitmap of hashed ids, OR-ed together before the shuffle; 1 MB whatever the input."""
-    slot = slot_of(column)
-    rows = (
-        ids.select(slot.alias("s"))
-        .groupBy(F.floor(F.col("s") / 64).cast("int").alias("w"))
-        .agg(F.expr("bit_or(shiftleft(1L, cast(pmod(s, 64) AS int)))").alias("bits"))
-        .collect()
-    )
-    out = np.zeros(FILTER_BITS // 64, np.int64)
-    for w, bits in rows:
-        out[w] = bits
-    return out.tobytes()
-
-
-def _sets(size: int, bitmap):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        longs = pa.list_(pa.int64())
-        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("shingles", longs), ("bitmap", longs)])
-        bits = np.frombuffer(bitmap.value, np.int64)
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
-            slot = batch.column(2).to_numpy(zero_copy_only=False)
-            hit = np.flatnonzero((bits[slot >> 6] >> (slot & 63)) & 1)
-            for at in range(0, len(hit), 200):
-                own = batch.take(pa.array(hit[at : at + 200]))
-                sets, bounds = shingle_sets(own.column(1), size)
-                n = own.num_rows
-                flags = np.zeros((n, BITMAP), np.uint8)
-                flags[np.repeat(np.arange(n), np.diff(bounds)), (sets % U64(BITMAP)).astype(np.int64)] = 1
-                packed = np.packbits(flags, axis=1).view(np.int64).ravel()
-                starts = np.arange(n + 1, dtype=np.int32) * (BITMAP // 64)
-                yield pa.RecordBatch.from_arrays(
-                    [own.column(0).cast(pa.int64()), pa.array(np.diff(bounds)),
-                     pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(sets.view(np.int64))),
-                     pa.ListArray.from_arrays(pa.array(starts), pa.array(packed))], schema=schema,
-                )
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                new = []
+                for k, own in enumerate(zip(part.column(0).to_pylist(), part.column(2).to_pylist(), strict=True)):
+                    if own not in seen:
+                        seen.add(own)
+                        new.append(k)
+                part = part.take(pa.array(new, pa.int64()))
+                sets, bounds = shingle_sets(part.column(1), size)
+                lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(sets.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), lists], names=["place", "place_th", "shingles"])
 
     return run
 
 
-def _full_sets(ids: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n, shingles and bitmap of the documents in ids, by one more scan of docs."""
-    bitmap = docs.sparkSession.sparkContext.broadcast(id_filter(ids, "doc_id"))
-    full = docs.select("doc_id", "text", slot_of("doc_id").alias("slot")).mapInArrow(
-        _sets(size, bitmap), "doc_id long, n long, shingles array<long>, bitmap array<long>"
-    )
-    return settle(full.join(ids, "doc_id", "left_semi"), "shingles")
+def _full_sets(asked: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """cls and shingles of the classes asked for (cls, place, place_th), by one more scan of docs (place, text, th)."""
+    asked = settle(asked, "asked")
+    some = Sieve(asked, "place").maybe(docs.select("place", "text", "th"), "place")
+    found = some.mapInArrow(_sets(size), "place long, place_th long, shingles array<long>")
+    out = settle(found.join(asked, ["place", "place_th"]).select("cls", "shingles"), "shingles")
+    discard(asked)
+    return out
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets reach the threshold."""
-    one = sets.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
-    two = sets.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
+    one = sets.select(F.col("cls").alias("a"), F.col("shingles").alias("sa"))
+    two = sets.select(F.col("cls").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
-    linked = pairs.select("a", "b").join(one, "a").join(two, "b").where(100 * both >= percent * (F.col("na") + F.col("nb") - both))
+    linked = pairs.select("a", "b").join(one, "a").join(two, "b").where(100 * both >= percent * (F.size("sa") + F.size("sb") - both))
     return settle(linked.select("a", "b"), "links")
 
 
-def _can_reach(percent: int):
-    """Whether the sets behind two rows can reach the threshold, by their bitmaps; never false for a link."""
-    words = F.zip_with("bitmap_a", "bitmap_b", lambda x, y: F.bit_count(x.bitwiseAND(y)))
-    shared = F.aggregate(words, F.lit(0), lambda total, x: total + x)
-    # at most n - bits shingles of a set hide behind bits that count already
-    most = shared + F.least(F.col("n_a") - F.col("bits_a"), F.col("n_b") - F.col("bits_b"))
-    return (100 + percent) * most >= percent * (F.col("n_a") + F.col("n_b"))
+def _rarest(slots: int, counts, percent: int):
+    """(cls, shingles) -> shingle, cls for the rarest shingles of a set, of which two sets at the threshold share one."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.frombuffer(counts.value, np.int32)
+        for batch in batches:
+            found, owner = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            lists = batch.column(1)
+            off = lists.offsets.to_numpy()
+            values = lists.values.to_numpy()
+            for cls, low, high in zip(batch.column(0).to_pylist(), off[:-1], off[1:], strict=True):
+                x = values[low:high]
+                n = len(x)
+                seen = table[x % slots]
+                first = np.lexsort((x, seen))[: n - -(-percent * n // 100) + 1]
+                first = first[seen[first] > 1]  # one that nobody else has makes no pair
+                found.append(x[first])
+                owner.append(np.full(len(first), cls, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(np.concatenate(owner))], names=["shingle", "cls"])
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept.
+    return run
 
-    Texts are linked where 100 * |A and B| >= percent * |A or B| over their sets of `size`-word shingles,
-    words being runs of bytes other than ASCII white space with A-Z lower-cased.
-    """
-    spark = prepare(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = settle(docs.mapInArrow(_sign(size), _SIGNED), "signatures")
+
+def _across(left: DataFrame, sets: DataFrame, side, fits, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes of different components (left: cls, c) that share one of their rarest shingles."""
+    spark = left.sparkSession
+    total = sets.agg(F.sum(F.size("shingles"))).first()[0] or 0
+    slots = min(COUNTERS, max(1 << 16, 1 << (total // 8).bit_length()))
+    rows = sets.select(F.explode("shingles").alias("s")).groupBy(F.pmod("s", F.lit(slots)).alias("s")).agg(F.count(F.lit(1)).alias("n")).toArrow()
+    counts = np.zeros(slots, np.int32)
+    counts[rows["s"].to_numpy()] = np.minimum(rows["n"].to_numpy(), np.iinfo(np.int32).max)
+    rare = sets.select("cls", "shingles").mapInArrow(_rarest(slots, spark.sparkContext.broadcast(counts.tobytes()), percent), "shingle long, cls long")
+    rare = settle(rare.join(left, "cls"), "rarest")
+    # components that meet at a shingle, then their members: pairs inside a component never arise
+    ends = rare.groupBy("shingle").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where(F.col("c0") != F.col("c1"))
+    met = settle(rare.join(settle(ends.select("shingle"), "met"), "shingle", "left_semi"), "meeting")
+    comps = settle(met.select("shingle", "c").distinct(), "comps")
+    two = comps.withColumnRenamed("c", "c_a").join(comps.withColumnRenamed("c", "c_b"), "shingle").where(F.col("c_a") > F.col("c_b"))
+    member = lambda s: met.select("shingle", F.col("c").alias(f"c_{s}"), F.col("cls").alias(s)).join(side(s), s)
+    pairs = two.join(member("a"), ["shingle", "c_a"]).join(member("b"), ["shingle", "c_b"]).where(fits)
+    return settle(pairs.select("a", "b").distinct(), "across")
+
+
+def _judged(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """doc_id, th, n_shingles, component_id, kept of each row of docs."""
+    prepare(docs.sparkSession)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
+    place = F.coalesce("doc_id", "th")  # where a class's text is found again
+    signed = settle(docs.select("doc_id", "text", "th").mapInArrow(_sign(size), _SIGNED), "signatures")
     some = signed.where(F.col("n_shingles") > 0)
-    classes = settle(some.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = classes.select(F.col("rep").alias("doc_id"), F.col("set_a").alias("ra"), F.col("set_b").alias("rb"))
-    # a repeated doc_id with another text is not the class's row
-    chosen = some.join(reps, "doc_id").where((F.col("set_a") == F.col("ra")) & (F.col("set_b") == F.col("rb"))).dropDuplicates(["doc_id", "set_a", "set_b"])
-    chosen = settle(chosen.select("doc_id", F.col("n_shingles").alias("n"), "bands", "sketch_a", "sketch_b"), "representatives")
-    banded = chosen.select("doc_id", F.explode("bands").alias("key"))
-    buckets = banded.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last")).where(F.col("pivot") != F.col("last"))
-    members = settle(banded.join(buckets.select("key", "pivot"), "key"), "members")
-
-    facts = chosen.select("doc_id", "n", "sketch_a", "sketch_b")
-    side = lambda s: facts.select(F.col("doc_id").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("n", "sketch_a", "sketch_b")))
+    # rows of one set have one signature, whichever is taken
+    classes = some.groupBy("set_a", "set_b").agg(
+        F.min("doc_id").alias("rep"), F.min(F.struct(place.alias("place"), "th")).alias("at"),
+        *(F.first(c).alias(c) for c in ("n_shingles", "bands", "sketch_a", "sketch_b")),
+    )
+    classes = settle(
+        classes.select(
+            F.monotonically_increasing_id().alias("cls"), "set_a", "set_b", "rep", "at.place", F.col("at.th").alias("place_th"), F.col("n_shingles").alias("n"), "bands", "sketch_a", "sketch_b"
+        ),
+        "classes",
+    )
+    banded = classes.select("cls", "rep", F.explode("bands").alias("key"))
+    buckets = banded.groupBy("key").agg(F.min(F.struct("rep", "cls")).alias("pivot"), F.min("cls").alias("c0"), F.max("cls").alias("c1")).where(F.col("c0") != F.col("c1"))
+    members = settle(banded.select("cls", "key").join(buckets.select("key", F.col("pivot.cls").alias("pivot")), "key"), "members")
+
+    facts = classes.select("cls", "n", "sketch_a", "sketch_b")
+    side = lambda s: facts.select(F.col("cls").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("n", "sketch_a", "sketch_b")))
     apart = F.bit_count(F.col("sketch_a_a").bitwiseXOR(F.col("sketch_a_b"))) + F.bit_count(F.col("sketch_b_a").bitwiseXOR(F.col("sketch_b_b")))
     fits = (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (apart <= SKETCH_MOST)
-    stars = members.where(F.col("doc_id") != F.col("pivot")).select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct()
+    stars = members.where(F.col("cls") != F.col("pivot")).select(F.col("cls").alias("a"), F.col("pivot").alias("b")).distinct()
     stars = settle(stars.join(side("a"), "a").join(side("b"), "b").where(fits).select("a", "b"), "stars")
-    ends = stars.select(F.col("a").alias("doc_id")).unionByName(stars.select(F.col("b").alias("doc_id"))).distinct()
-    sets = _full_sets(ends, docs, size)
+    ends = stars.select(F.col("a").alias("cls")).unionByName(stars.select(F.col("b").alias("cls"))).distinct()
+    texts, places = docs.select(place.alias("place"), "text", "th"), classes.select("cls", "place", "place_th")
+    sets = _full_sets(places.join(ends, "cls", "left_semi"), texts, size)
     links = _confirm(stars, sets, percent)
     discard(sets)
+    discard(stars)
 
     label = components(links)
-    known = members.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("c"))
+    known = members.join(label.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", F.coalesce("component", "cls").alias("c"))
     split = known.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where(F.col("c0") != F.col("c1")).select("key")
-    left = settle(known.join(split, "key", "left_semi"), "unsettled")
+    left = settle(known.join(split, "key", "left_semi").select("cls", "c").distinct(), "unsettled")
+    discard(members)
     if not left.isEmpty():
-        sets = _full_sets(left.select("doc_id").distinct(), docs, size)
-        bits = F.aggregate(F.transform("bitmap", lambda x: F.bit_count(x)), F.lit(0), lambda t, x: t + x)
-        rows = left.join(sets.select("doc_id", "bitmap", bits.alias("bits")), "doc_id").join(facts, "doc_id")
-        names = ("doc_id", "c", "n", "sketch_a", "sketch_b", "bitmap", "bits")
-        first, other = (rows.select("key", *(F.col(c).alias(f"{c}_{s}") for c in names)) for s in ("a", "b"))
-        across = first.join(other, "key").where((F.col("c_a") > F.col("c_b")) & fits & _can_reach(percent))
-        across = settle(across.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct(), "across")
-        more = _confirm(across, sets, percent)
+        sets = _full_sets(places.join(left, "cls", "left_semi"), texts, size)
+        more = _confirm(_across(left, sets, side, fits, percent), sets, percent)
+        discard(sets)
         if not more.isEmpty():
             label = components(links.unionByName(more))
-    group = classes.join(label, classes["rep"] == label["node"], "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("group"))
+    group = classes.join(label, classes["cls"] == label["node"], "left").select("set_a", "set_b", "rep", F.coalesce("component", "cls").alias("c"))
     group = settle(group, "groups")
-    joined = signed.select("doc_id", "n_shingles", "set_a", "set_b").join(group, ["set_a", "set_b"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("group", "doc_id")).otherwise(F.col("doc_id"))
-    return joined.select("doc_id", "n_shingles", component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
-
-
-def _split(bitmap, slot_at: int, hits: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(bitmap.value, np.int64)
-        for batch in batches:
-            slot = batch.column(slot_at).to_numpy(zero_copy_only=False)
-            hit = ((bits[slot >> 6] >> (slot & 63)) & 1).astype(bool)
-            yield batch.filter(pa.array(hit == hits)).select(list(range(slot_at)))
-
-    return run
-
+    # a component is named by its smallest doc_id
+    names = group.groupBy("c").agg(F.min("rep").alias("component_id"))
+    group = group.select("set_a", "set_b", "c").join(names, "c").select("set_a", "set_b", "component_id")
+    joined = signed.select("doc_id", "th", "n_shingles", "set_a", "set_b").join(group, ["set_a", "set_b"], "left")
+    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return joined.select("doc_id", "th", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
-def split_by_id(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows of docs whose doc_id is surely not in ids, and the others; by the fixed-size bitmap, with no shuffle."""
-    bitmap = docs.sparkSession.sparkContext.broadcast(id_filter(ids, "doc_id"))
-    marked = docs.withColumn("__slot", slot_of("doc_id"))
-    at = len(docs.columns)
-    return tuple(marked.mapInArrow(_split(bitmap, at, hits), docs.schema) for hits in (False, True))
 
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept.
 
-def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs without the rows whose doc_id is in ids; only rows that the bitmap can't clear are shuffled."""
-    clear, doubtful = split_by_id(docs, ids)
-    return clear.unionByName(doubtful.join(ids.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns))
+    Texts are linked where 100 * |A and B| >= percent * |A or B| over their sets of `size`-word shingles,
+    words being runs of bytes other than ASCII white space with A-Z lower-cased.
+    """
+    return _judged(docs, size, percent).drop("th")
 
 
 def without_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document of each group, the one of smallest doc_id, and its columns as they are."""
-    found = near_duplicates(docs, size, percent)
-    return without_ids(docs, settle(found.where(~F.col("kept")).select("doc_id"), "dropped"))
+    """docs without the rows that aren't kept, with its columns as they are; one document of each group stays."""
+    dropped = _judged(docs, size, percent).where(~F.col("kept")).select(F.coalesce("doc_id", "th").alias("place"), "th").distinct()
+    return without_rows(docs, settle(dropped, "dropped"))
+
+
+def without_rows(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """docs without the rows listed by place (doc_id, else the text's hash) and th; only rows that the sieve can't clear are shuffled."""
+    place, th = fresh(docs, "place"), fresh(docs, "th")
+    text = F.col("text").cast("string")
+    marked = docs.select(*columns_of(docs), F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text)).alias(place), F.xxhash64(text).alias(th))
+    sieve = Sieve(dropped, "place")
+    listed = dropped.select(F.col("place").alias(place), F.col("th").alias(th))
+    left = sieve.surely_not(marked, place).unionByName(sieve.maybe(marked, place).join(listed, [place, th], "left_anti").select(*columns_of(marked)))
+    return left.select(*columns_of(docs))

@@ -59,6 +59,39 @@ def test_near_copies_of_one_text_and_bridges(make):
     assert got == brute.near_duplicates(rows, 2, 80)
 
 
+def test_near_duplicates_of_repeated_and_missing_ids(make):
+    """Rows of one id are judged by their own texts; rows without id are compared like any other."""
+    rng = random.Random(11)
+    text = lambda: [f"w{rng.randrange(10**6)}" for _ in range(60)]
+    one, two, three = text(), text(), text()
+    near = lambda t: " ".join([*t[:-1], "changed"])
+    rows = [(1, " ".join(one)), (7, near(one)), (7, " ".join(two)), (9, near(two)), (None, " ".join(three)), (None, near(three)), (None, near(one)), (12, " ".join(text()))]
+    got = {(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in near_duplicates(make(rows), 2, 80).collect()}
+    assert got == {(1, 59, 1, True), (7, 59, 1, False), (7, 59, 7, True), (9, 59, 7, False), (None, 59, None, True), (None, 59, 1, False), (12, 59, 12, True)}
+    left = sorted((str(r["doc_id"]), r["text"]) for r in without_near_duplicates(make(rows), 2, 80).collect())
+    assert left == sorted((str(i), t) for i, t in (rows[0], rows[2], rows[4], rows[5], rows[7]))
+
+
+def test_near_duplicates_with_a_shared_half(make, monkeypatch):
+    """Texts of which half is one boilerplate: buckets stay split, but rare shingles bring few pairs."""
+    from gridweave.llm import minhash
+
+    counts = []
+    across = minhash._across
+    monkeypatch.setattr(minhash, "_across", lambda *a: (out := across(*a), counts.append(out.count()))[0])
+    rng = random.Random(12)
+    common = [f"c{k}" for k in range(60)]
+    rows = []
+    for i in range(300):
+        own = [*common, *(f"u{rng.randrange(10**6)}" for _ in range(40))]
+        rows.append((2 * i, " ".join(own)))
+        if i % 10 == 0:
+            rows.append((2 * i + 1, " ".join([*own[:-2], "x", "y"])))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_duplicates(make(rows), 2, 80).collect()}
+    assert got == brute.near_duplicates(rows, 2, 80)
+    assert all(n <= 100 for n in counts), counts
+
+
 def test_near_duplicates_empty_and_filter(spark, make, awkward):
     assert near_duplicates(make([]), 2, 80).count() == 0
     df = make(awkward)
@@ -90,6 +123,75 @@ def test_exact_duplicates(make, awkward):
     assert exact_duplicates(make([])).count() == 0 and without_duplicates(make([])).count() == 0
 
 
+def test_exact_duplicates_of_two_arrivals(spark, make, awkward, tmp_path):
+    """The second call goes on with the first one's state, reads only its own rows, and fetches earlier content by locator."""
+    state, first, second = (str(tmp_path / x) for x in ("state", "one.parquet", "two.parquet"))
+    make([(10, "a b"), (11, "alone"), (12, "a  b")]).write.parquet(first)
+    make([(5, "a\nb"), (20, "alone"), (21, "new"), (None, "new"), (22, "own")]).write.parquet(second)
+    key = lambda r: (r["doc_id"], r["keep_id"], r["group_size"], r["kept"])
+    one = exact_duplicates(spark.read.parquet(first), state).collect()
+    assert sorted(map(key, one)) == [(10, 10, 2, True), (11, 11, 1, True), (12, 10, 2, False)]
+    two = exact_duplicates(spark.read.parquet(second), state).collect()
+    assert sorted(map(key, two), key=str) == sorted([(5, 5, 3, True), (20, 11, 2, False), (21, 21, 2, True), (None, 21, 2, False), (22, 22, 1, True)], key=str)
+    three = exact_duplicates(make([(1, "own"), (2, None)]), state).collect()  # not from a file
+    assert sorted(map(key, three)) == [(1, 1, 2, True), (2, 2, 1, True)]
+    four = exact_duplicates(make([(3, "")]), state).collect()  # meets the copy of the third arrival
+    assert sorted(map(key, four)) == [(3, 2, 2, False)]
+    assert exact_duplicates(make([]), state).count() == 0
+
+
+def test_exact_duplicates_with_colliding_digests(spark, make, monkeypatch, tmp_path):
+    """Digests that say little: full bytes tell the texts apart, within an arrival and between two."""
+    from pyspark.sql import functions as F
+
+    from gridweave.llm import exactdedup
+
+    monkeypatch.setattr(exactdedup, "digest_of", lambda body: F.unhex(F.substring(F.sha2(body, 256), 1, 1)))
+    rows = [(i % 40, f"text {i % 60 // 3}") for i in range(300)] + [(None, "text 1"), (7, "text 1"), (7, "text 2")]
+    got = exact_duplicates(make(rows)).collect()
+    groups = defaultdict(list)
+    for i, t in rows:
+        groups[t].append(i)
+    assert len(got) == len(rows)
+    want = sorted((str(i), min(x for x in groups[t] if x is not None), len(groups[t])) for i, t in rows)
+    assert sorted((str(r["doc_id"]), r["keep_id"], r["group_size"]) for r in got) == want
+    assert sum(r["kept"] for r in got) == len(groups)
+    state, first = str(tmp_path / "state"), str(tmp_path / "one.parquet")
+    make([(i, f"old {i}") for i in range(30)]).write.parquet(first)
+    exact_duplicates(spark.read.parquet(first), state).count()
+    later = exact_duplicates(make([(100 + i, f"old {i}" if i < 5 else f"new {i}") for i in range(30)]), state).collect()
+    assert all(r["keep_id"] == (r["doc_id"] - 100 if r["doc_id"] < 105 else r["doc_id"]) for r in later)
+    assert all(r["kept"] == (r["doc_id"] >= 105) for r in later)
+
+
+# --- the sieve
+
+
+def test_sieve_of_too_many_keys_is_a_join(spark, make, awkward, monkeypatch):
+    """Results don't depend on whether keys are looked for in a bitmap, however full, or by joins."""
+    from gridweave.llm import sieve
+
+    rows = [*awkward, *((100 + i, " ".join(f"w{(i // 4) * 50 + k}" for k in range(60)) + " " + "x" * (i % 4)) for i in range(80))]
+    df = make(rows)
+    run = lambda: (
+        sorted(map(str, near_duplicates(df, 2, 80).collect())), sorted(map(str, repeated_passages(df).collect())),
+        sorted(map(str, without_duplicates(df).collect())), sorted(map(str, without_near_duplicates(df, 2, 80).collect())),
+    )
+    want = run()
+    monkeypatch.setattr(sieve, "MOST_KEYS", -1)
+    assert run() == want
+    monkeypatch.undo()
+
+    class Full(sieve.Sieve):
+        def __init__(self, *a, **k):
+            super().__init__(*a, **k)
+            self.bitmap = self.keys.sparkSession.sparkContext.broadcast(b"\xff" * (self.bits // 8))
+
+    for module in ("minhash", "repeats", "exactdedup"):
+        monkeypatch.setattr(f"gridweave.llm.{module}.Sieve", Full)
+    assert run() == want
+
+
 # --- repeated passages
 
 
@@ -120,17 +222,31 @@ def test_repeats(make, awkward):
     assert repeated_passages(make([])).count() == 0
 
 
-def test_repeats_of_few_contexts(make):
+@pytest.mark.parametrize("partitions", [1, 4, 50])
+def test_repeats_of_few_contexts(spark, make, partitions):
     """Texts that share less than a passage leave a few contexts to sort, none of which may meet itself."""
     import hashlib
 
     rng = random.Random(7)
     text = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
-    for _ in range(3):
-        shared = text(150)
-        rows = [(1, text(300) + shared + text(300)), (2, text(300) + shared + text(300))]
-        got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in repeated_passages(make(rows)).collect()}
-        assert got == {i: (len(t), 0, 0, hashlib.sha256(t.encode()).hexdigest()) for i, t in rows}
+    cases = []
+    for size in (150, 190):
+        shared = text(size)
+        cases.append([(i, text(300) + shared + text(300)) for i in range(1, 4)])
+    parts = [text(190) for _ in range(5)]  # 15 contexts, and no repeat
+    cases.append([(i, "".join(text(100) + p for p in parts)) for i in range(3)])
+    long = text(260)  # few contexts that do repeat, among others that don't
+    cases.append([(1, text(120) + long + text(90)), (2, text(200) + long), (3, text(80) + long[:199] + text(80)), (4, long[30:])])
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for rows in cases:
+            got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in repeated_passages(make(rows)).collect()}
+            assert got == {i: (*v[0][:3], hashlib.sha256(v[0][3]).hexdigest()) for i, v in brute.repeats(rows, 200).items()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def test_repeats_in_rows_without_id(make):
