@@ -2,7 +2,8 @@
 
 Each URL is expanded into (host suffix, path prefix) expressions, which meet the rules by equi-join on
 the first four bytes of a SHA-256; the full digest then confirms, and the longest rule decides. Built
-from DataFrame functions only.
+from DataFrame functions only. Host suffixes are taken with as many labels as some rule's host has, so a
+URL has at most (label counts x path lengths of the rules) expressions, however long its host is.
 
 A rule is (host, path, verdict). It fits its host and every subdomain of it, where the URL's path starts
 with the rule's path. Path prefixes are taken at the lengths that rules' paths have, so any path prefix
@@ -54,8 +55,9 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], default: str
     if not rules:
         return rows.select("*", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     lengths = F.array(*(F.lit(n) for n in sorted({len(p) for _, p, _ in rules})))
-    labels = F.split("host", r"\.", -1)
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    counts = sorted({h.count(".") + 1 for h, _, _ in rules})
+    labels = F.length("host") - F.length(F.replace(F.col("host"), F.lit("."), F.lit(""))) + 1
+    suffixes = F.filter(F.array(*(F.when(labels >= n, F.substring_index("host", ".", -n)) for n in counts)), lambda h: h.isNotNull())
     prefixes = F.transform(F.filter(lengths, lambda n: n <= F.length("path")), lambda n: F.substr(F.col("path"), F.lit(1), n))
     asked = F.flatten(F.transform(suffixes, lambda h: F.transform(prefixes, lambda p: F.sha2(F.concat_ws("\x00", h, p), 256))))
     table = rule_table(pages.sparkSession, rules)
