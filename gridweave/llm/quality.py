@@ -3,14 +3,15 @@
 Tokens are runs of word bytes (letters, digits, _ and all non-ASCII, A-Z lower-cased) and runs of other
 visible bytes. Their 1- and 2-grams are hashed to BUCKETS. The raw model counts the n-grams of all
 documents; the target model those of labelled good ones (quality 1), at most TARGET_ROWS of them, those of
-smallest hash of the id. A document's importance is the ratio of its likelihoods under both, taken per
-n-gram and scaled to SCALE n-grams, so that length alone neither helps nor hurts. Adding Gumbel noise,
-fixed by the id, and keeping the k largest keys samples k documents without replacement in proportion to
-importance. k is the given share of all rows, by default the share of good rows among those labelled.
-
-Defined results: texts without n-grams have log weight 0 less EMPTY; without labels the share is 1 and all
-are kept; ties in the key go to the smaller doc_id; rows that repeat a doc_id share its noise; extra
-columns are ignored; an empty table gives an empty one.
+smallest hash of the id, with the raw model as a prior. A document's importance is the ratio of its likelihoods under both: log_weight is
+the sum of its n-grams' log ratios. Adding Gumbel noise, fixed by the id, and keeping the k largest keys
+samples k documents without replacement in proportion to importance. k is the given share of all rows, by
+default the share of good rows among those labelled.
+
+Defined results: texts without n-grams have log weight 0, as a likelihood ratio of nothing; without labels
+the share is 1 and all are kept; exactly k rows are kept, ties in the key going to the smaller doc_id (null
+last), then to any; rows that repeat a doc_id share its noise; extra columns are ignored; an empty table
+gives an empty one.
 """
 
 from __future__ import annotations
@@ -25,8 +26,9 @@ from pyspark.sql import functions as F
 from .bytescan import LOWER, SPACE, U64, buffers, mix, prefix_hash, span_hash
 from .runtime import prepare, settle, unit_hash
 
-BUCKETS, TARGET_ROWS, SCALE, EMPTY = 10_000, 5000, 50.0, 20.0
-SMOOTH = 1.0
+BUCKETS, TARGET_ROWS = 10_000, 5000
+#: Weight of the raw model in the target's, in n-grams.
+PRIOR = 10_000.0
 #: The k-th key is looked for among so many equal steps of the keys' range, level by level.
 STEPS = 4096
 
@@ -76,8 +78,7 @@ def _weigh(table):
         for batch in batches:
             grams, owner = ngrams(batch.column(1))
             n = np.bincount(owner, minlength=batch.num_rows)
-            total = np.bincount(owner, weights=ratio[grams], minlength=batch.num_rows)
-            weight = np.where(n > 0, SCALE * total / np.maximum(n, 1), -EMPTY)
+            weight = np.bincount(owner, weights=ratio[grams], minlength=batch.num_rows).astype(np.float64)  # of no n-grams: integers
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int64)), pa.array(weight)], names=["doc_id", "n_grams", "log_weight"])
 
     return run
@@ -96,12 +97,17 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for b, r, t in totals:
         raw[b], target[b] = r, t
-    ratio = np.log((target + SMOOTH) / (target.sum() + SMOOTH * BUCKETS)) - np.log((raw + SMOOTH) / (raw.sum() + SMOOTH * BUCKETS))
-    return (ratio if target.sum() else np.zeros(BUCKETS)), (1.0 if share is None else float(share))
+    return log_ratio(raw, target), (1.0 if share is None else float(share))
 
 
-def _kth(rows: DataFrame, k: int) -> tuple[float, int]:
-    """The largest bound with at most k keys above it, found level by level, and how many are above."""
+def log_ratio(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Log ratio of the models by bucket, the target's having PRIOR n-grams of the raw one as a prior; 0 where nothing was counted."""
+    p = np.where(raw > 0, raw, 1) / max(1.0, raw.sum())
+    return np.where(raw > 0, np.log((target + PRIOR * p) / (target.sum() + PRIOR)) - np.log(p), 0.0)
+
+
+def _kth(rows: DataFrame, k: int) -> tuple[float, int, float]:
+    """The largest bound found with at most k keys above it, how many those are, and where the next keys end."""
     lo, hi = rows.agg(F.min("key"), F.max("key")).first()
     above = 0
     hi = hi + 1e-9 * max(1.0, abs(hi))
@@ -117,8 +123,21 @@ def _kth(rows: DataFrame, k: int) -> tuple[float, int]:
                 break
             above += n
         else:
-            return lo, above
-    return hi, above
+            return lo, above, float("-inf")
+    return hi, above, lo
+
+
+def _last(rows: DataFrame, n: int):
+    """The n-th of the rows by falling key, then id and row; no task sorts more than its range."""
+    order = [F.col("key").desc(), F.col("doc_id").asc_nulls_last(), F.col("row").asc()]
+    ranged = settle(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()), "ties")
+    part = F.shiftright("at", 33)
+    # one number for each partition
+    for p, m in sorted(ranged.groupBy(part.alias("p")).agg(F.count(F.lit(1))).collect()):
+        if n <= m:
+            return ranged.where(F.col("at") == (p << 33) + n - 1).first()
+        n -= m
+    return None
 
 
 def resample(docs: DataFrame, labels: DataFrame, share: float | None = None) -> DataFrame:
@@ -129,16 +148,17 @@ def resample(docs: DataFrame, labels: DataFrame, share: float | None = None) ->
     table = spark.sparkContext.broadcast(ratio.tobytes())
     scored = rows.mapInArrow(_weigh(table), "doc_id long, n_grams long, log_weight double")
     noise = -F.log(-F.log(unit_hash("doc_id", seed=10)))
-    scored = settle(scored.withColumn("key", F.col("log_weight") + noise), "keys")
+    scored = settle(scored.withColumn("key", F.col("log_weight") + noise).withColumn("row", F.monotonically_increasing_id()), "keys")
     n = scored.count()
     k = round((known if share is None else share) * n)
     if k >= n or not n:
-        return scored.withColumn("kept", F.lit(True))
-    bound, above = _kth(scored, k)
-    # what lies between the bound found and the next key are ties to within rounding: the smallest ids fill up
-    ties = scored.where(F.col("key") < bound).orderBy(F.col("key").desc(), F.col("doc_id").asc()).limit(k - above)
-    last = ties.orderBy(F.col("key").asc(), F.col("doc_id").desc()).select("key", "doc_id").first()
+        return scored.drop("row").withColumn("kept", F.lit(True))
+    bound, above, low = _kth(scored, k)
     kept = F.col("key") >= bound
+    # what lies right below the bound are ties to within rounding
+    last = _last(scored.where((F.col("key") < bound) & (F.col("key") >= low)), k - above) if above < k else None
     if last is not None:
-        kept = kept | (F.col("key") > last["key"]) | ((F.col("key") == last["key"]) & (F.col("doc_id") <= last["doc_id"]))
-    return scored.withColumn("kept", kept)
+        same = F.col("doc_id").eqNullSafe(F.lit(last["doc_id"]).cast("long"))
+        before = F.col("doc_id").isNotNull() if last["doc_id"] is None else F.coalesce(F.col("doc_id") < last["doc_id"], F.lit(False))
+        kept = kept | (F.col("key") > last["key"]) | ((F.col("key") == last["key"]) & (before | (same & (F.col("row") <= last["row"]))))
+    return scored.withColumn("kept", kept).drop("row")

@@ -71,7 +71,7 @@ def test_quality_keeps_good_text(spark, make):
     share = sum(bool(i % 4) for i in range(0, 400, 2)) / 200
     assert len(out) == len(rows) and sum(r["kept"] for r in out) == round(share * len(rows))
     kept = [r["doc_id"] for r in out if r["kept"]]
-    assert all(i % 4 for i in kept)
+    assert all(i % 4 for i in kept if i < 400)
     top = sorted(out, key=lambda r: (-r["key"], r["doc_id"]))[: len(kept)]
     assert {r["doc_id"] for r in top} == set(kept)
     assert resample(make([]), labels).count() == 0
@@ -79,10 +79,53 @@ def test_quality_keeps_good_text(spark, make):
     assert all(r["kept"] for r in resample(docs, empty).collect())
 
 
+def test_quality_against_brute_force(spark, make):
+    """Weights are sums of log ratios of two counted models; the kept rows are the k largest keys."""
+    import re
+    from collections import Counter
+
+    from gridweave.llm import quality
+
+    rng = random.Random(4)
+    words = ["alpha", "Beta", "ga_mma", "??", "délta", "x1"]
+    rows = [(i, " ".join(rng.choice(words[: 3 + 3 * (i % 2)]) for _ in range(rng.randrange(0, 30)))) for i in range(120)] + [(200, None), (201, " \t"), (None, "alpha ??beta"), (5, "alpha")]
+    quality_of = {i: int(i % 3 > 0) for i in range(0, 60)}
+    labels = spark.createDataFrame([(i, q, 0) for i, q in quality_of.items()], "doc_id long, quality int, toxic int")
+    got = resample(make(rows), labels).collect()
+
+    def grams(text):
+        low = re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode())
+        tokens = re.findall(rb"[0-9a-z_\x80-\xff]+|[^0-9a-z_\x80-\xff\x20\x09-\x0d]+", low)
+        return [(t,) for t in tokens] + list(zip(tokens, tokens[1:], strict=False))
+
+    raw, target = Counter(), Counter()
+    for i, text in rows:
+        raw.update(grams(text))
+        if quality_of.get(i):
+            target.update(grams(text))
+    every = sorted({b"\n".join(g) for g in raw})
+    import pyarrow as pa
+
+    hashed, owner = quality.ngrams(pa.array([" ".join(x.decode() for x in g.split(b"\n")) for g in every]))
+    assert len({tuple(hashed[owner == i]) for i in range(len(every))}) == len(every)  # no bucket is shared
+    prior, share = quality.PRIOR, {g: raw[g] / raw.total() for g in raw}
+    ratio = {g: math.log((target[g] + prior * share[g]) / (target.total() + prior)) - math.log(share[g]) for g in raw}
+    want = sorted((str(i), len(grams(t)), round(sum(ratio[g] for g in grams(t)), 6)) for i, t in rows)
+    assert sorted((str(r["doc_id"]), r["n_grams"], round(r["log_weight"], 6)) for r in got) == want
+    k = round(sum(quality_of.values()) / len(quality_of) * len(rows))
+    keys = sorted((r["key"] for r in got), reverse=True)
+    assert sum(r["kept"] for r in got) == k and {r["key"] for r in got if r["kept"]} == set(keys[:k])
+
+
 def test_quality_ties(spark, make):
+    """Of equal keys exactly as many stay as are wanted, those of smaller id first."""
     labels = spark.createDataFrame([(0, 1, 0), (1, 0, 0)], "doc_id long, quality int, toxic int")
-    out = resample(make([(5, "same text")] * 10), labels).collect()
-    assert len({r["key"] for r in out}) == 1
+    for rows in ([(5, "same text")] * 10, [(5, "same text")] * 7 + [(None, "same text")] * 3, [(None, "t")] * 10, [(i % 2, "") for i in range(20)]):
+        for share in (0.0, 0.1, 0.5, 0.8, 0.95):
+            out = resample(make(rows), labels, share).collect()
+            assert len(out) == len(rows) and sum(r["kept"] for r in out) == round(share * len(rows))
+            low, high = (sorted((r["key"] for r in out if r["kept"] == x), reverse=True) for x in (True, False))
+            assert not low or not high or low[-1] >= high[0]
 
 
 # --- vectors
@@ -212,6 +255,16 @@ def test_urls(spark):
     assert {r["verdict"] for r in judge_urls(pages, [], "block").collect()} == {"block"}
 
 
+def test_urls_of_very_many_labels(spark):
+    """Expressions are as many as the rules' label counts, not the host's."""
+    many = "a." * 100_000
+    rows = [(1, f"http://{many}example.com/en/x"), (2, f"http://{many}net/es/"), (3, "http://" + "." * 50_000), (4, f"http://www.{many}com/{'x' * 200_000}"), (5, "http://" + "b" * 300_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    rules = [*queries.URL_RULES, (".", "", "block"), ("", "", "block")]
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in judge_urls(pages, rules).collect()}
+    assert got == {1: ("example.com/en/", "block"), 2: ("net/es/", "block"), 3: (".", "block"), 4: ("com/", "allow"), 5: (None, "allow")}
+
+
 def test_many_rules_are_joined_by_shuffle(spark, monkeypatch):
     from gridweave.llm import urlfilter
 

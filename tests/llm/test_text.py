@@ -273,6 +273,55 @@ def test_token_counts(spark, make, awkward):
     assert count_tokens(make([])).count() == 0
 
 
+SCRIPTS = [
+    "Съешь же ещё этих мягких французских булок, да выпей чаю 123 раза!", "私は学生です。東京2024年、大学に行きます", "مرحبا بالعالم ١٢٣ كيف حالك؟", "😀👍🏽 emoji\u200dzwj 🇫🇷 e\u0301tude", "हिन्दी पाठ १२३",
+    "a\u00a0b\u2003c\u3000d \x1c\x1d\x85 e\u2028f", "½ Ⅷ ①x² ٣", "it's IT'S don't they'll 'tis we've", "\ufb01ligature ŉ ǅ", "\u0378 unassigned \u1c89", "x" * 1000 + " " + "漢" * 700, "   \n\n  two  ",
+]
+
+
+def test_lookup_serves_all_scripts(make, monkeypatch):
+    """Ids and counts are the library's, without asking it for whole texts unless a character is unassigned."""
+    from gridweave.llm import pretokens
+
+    lib = library()
+    own = pretokens.Encoder(__import__("public_tokenizers").path("byte_bpe_50k.json"), __import__("public_tokenizers").path("byte_bpe_50k.tiktoken"))
+    asked = []
+    monkeypatch.setattr(own, "library", lambda t: (asked.append(t), lib.encode(t, add_special_tokens=False).ids)[1])
+    for text in SCRIPTS:
+        for _ in range(2):
+            assert own.ids(text) == pretokens.to_bytes(lib.encode(text, add_special_tokens=False).ids), text
+    assert set(asked) == {SCRIPTS[9]}
+    assert all(len(p) <= pretokens.LONGEST for p in own.cache)
+    got = {r["doc_id"]: r["n_tokens"] for r in count_tokens(make(list(enumerate(SCRIPTS)))).collect()}
+    assert got == {i: len(lib.encode(t, add_special_tokens=False).ids) for i, t in enumerate(SCRIPTS)}
+
+
+def test_cuts_agree_on_every_character():
+    """For all of Unicode: what the regular expressions cut, the library cuts, or the character is left to it."""
+    from gridweave.llm import pretokens
+
+    lib = library().pre_tokenizer
+    own = pretokens.Encoder(__import__("public_tokenizers").path("byte_bpe_50k.json"), None)
+    for low in range(0, 0x110000, 128):
+        chars = [chr(c) for c in range(low, low + 128) if not 0xD800 <= c < 0xE000]
+        chars = [c for c in chars if not pretokens.unassigned().match(c)]
+        text = "".join(f"a{c}1{c}-{c} {c}{c}" for c in chars)
+        if chars:
+            assert own.cut(text) == [text[a:b] for _, (a, b) in lib.pre_tokenize_str(text)], hex(low)
+
+
+def test_cache_is_bounded_in_bytes(monkeypatch):
+    from gridweave.llm import pretokens
+
+    monkeypatch.setattr(pretokens, "CACHE_BYTES", 10 * pretokens.ENTRY)
+    cache = pretokens.Cache({"the": 1})
+    for i in range(1000):
+        cache.learn(f"w{i}", i)
+        assert cache["the"] == 1 and len(cache) <= 11 and cache[f"w{i}"] == i
+    cache.learn("x" * 10_000, 3)
+    assert "x" * 10_000 not in cache
+
+
 def test_packing_round_trip(spark, make, awkward):
     lib = library()
     for df in (make(awkward), documents(spark)):
