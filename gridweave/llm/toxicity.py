@@ -1,21 +1,25 @@
 """Toxicity by a support vector machine on a gap-weighted subsequence string kernel with Nystrom landmarks.
 
-Kernel. phi_u(s) sums DECAY**span over the occurrences of the 4-letter subsequence u in a word s, spans of
-up to 6 letters; k(s, t) = <phi(s), phi(t)> / sqrt(c(|s|) c(|t|)), c(n) being the self-kernel of a word
-of n different letters. Gaps let a word with inserted or missing letters match; punctuation inside a word
-is skipped and letters set apart by single spaces are joined, so that i.d.i.o.t and i d i o t match too.
-
-Training. A sentence is a bag of its words and carries its document's label; it is as toxic as its worst
-word (multiple-instance learning: each toxic document's worst word is its positive example, every word of
-clean documents is a negative one, and worst words are chosen anew as the machine improves). A word's
-features are its kernel values with the landmarks, whitened by the landmarks' kernel matrix (Nystrom);
-the machine minimises squared hinge loss plus a ridge. The commonest toxic words are also shown with a
-letter put in at each place, with a tenth of the weight, so that such spellings pass the threshold. Folded back through the landmarks it is one weight
-per subsequence, so scoring is linear in the text. Platt's sigmoid makes the margin a probability.
-
-Labels are learnt from at most TRAIN_ROWS rows of each class (those of smallest hash of the id), and at
-most TRAIN_SENTENCES sentences of each; texts are scored whole, whatever their length. Language, source
-and id are no inputs.
+Kernel. phi_u(s) sums DECAY**span over the occurrences of the 4-letter subsequence u in a string s of words,
+spans of up to 6 letters, breaks between words counting as letters; k(s, t) = <phi(s), phi(t)> /
+sqrt(c(|s|) c(|t|)), c(n) being the self-kernel of n different letters. Gaps let a word with inserted or
+missing letters match, within words and across them; punctuation is skipped and letters set apart by single
+spaces are joined, so that i.d.i.o.t and i d i o t match too.
+
+Training. The examples are sentences with the label of their document. A sentence is as toxic as its worst
+window, one to WORDS words long: of a long sentence a short insult must not be diluted. Of a toxic document
+only the worst sentence need be toxic, so the examples are chosen anew as the machine improves (multiple
+instances): each toxic document's worst sentence by its worst window, the words that recur in toxic documents
+and in no clean one, and of clean documents' sentences the windows that the machine finds worst and a fixed
+sample of all others. A window's features are its kernel
+values with the landmarks, whitened by the landmarks' kernel matrix (Nystrom); the machine minimises squared
+hinge loss plus a ridge. The commonest positive windows are also shown with a letter put in at each place,
+with a tenth of the weight, so that such spellings pass the threshold: the kernel alone finds most of them,
+but not all. Folded back through the landmarks the machine is one weight per subsequence, so scoring is
+linear in the text. Platt's sigmoid makes the margin a probability.
+
+Labels are learnt from at most TRAIN_ROWS clean and toxic rows (those of smallest hash of the id), from all of
+their sentences; texts are scored whole, whatever their length. Language, source and id are no inputs.
 
 Defined results: null and word-less texts get the score of no evidence; without training rows of both
 classes every score is the toxic share (0 if unknown); conflicting labels of one id: the larger; extra
@@ -25,6 +29,7 @@ columns are ignored; repeated rows stay; an empty table gives an empty one.
 from __future__ import annotations
 
 import unicodedata
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,15 +39,21 @@ from pyspark.sql import functions as F
 
 from .runtime import prepare
 
-#: At most so many training documents of each class, and sentences of each document.
-TRAIN_ROWS, TRAIN_SENTENCES = 1500, 400
-LANDMARKS, ROUNDS = 160, 4
+#: At most so many clean and toxic training documents.
+TRAIN_ROWS = (3000, 1500)
+LANDMARKS, ROUNDS = 240, 4
 DECAY, SPAN, RIDGE = 0.7, 6, 1e-3
-#: Words of clean training documents used as negatives (all hard ones, the others by hash).
-NEGATIVES = 30_000
-#: Positive words that are also shown with an inserted letter.
+#: Words of a sentence's window at most; breaks crossed by a subsequence are fewer.
+WORDS = 3
+#: Windows of clean sentences shown as negatives: hard ones, and others by position.
+HARD, OTHERS = 20_000, 18_000
+#: The hardest of them weigh as much as all others.
+HARDEST = 1000
+#: Positive windows that are also shown with an inserted letter.
 SPOILT = 60
 THRESHOLD = 0.7
+#: Letters scored at a time in training.
+CHUNK = 1 << 19
 
 BREAK, DROP = 0, 255
 #: Offsets of the 2nd to 4th letter from the 1st, and the weight of that span.
@@ -68,29 +79,37 @@ def _fold_table() -> np.ndarray:
 FOLD = _fold_table()
 
 
-def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Letter codes of all texts, each closed by a break, and the n + 1 bounds of the texts."""
-    joined = "\n".join(texts) + "\n"
+#: Marks that end a sentence before white space.
+STOPS = np.array([ord(c) for c in ".!?…。！？"], np.uint32)
+
+
+def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Letter codes of all texts with a break before and after every word, the sentence number of each, and the texts' n + 1 bounds."""
+    joined = "\n".join(["", *texts]) + "\n"
     cps = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     codes = np.where(cps < 0x3000, FOLD[np.minimum(cps, 0x2FFF)], 27 + (cps & 3).astype(np.uint8)).astype(np.uint8)
+    stop = cps == 10
+    stop[:-1] |= np.isin(cps[:-1], STOPS) & (codes[1:] == BREAK)
+    sentence = np.cumsum(stop, dtype=np.int32)
+    bounds = np.concatenate(([1], 1 + np.cumsum([len(t) + 1 for t in texts], dtype=np.int64)))
     keep = codes != DROP
-    at = np.concatenate(([0], np.cumsum(keep)))
-    lengths = np.array([len(t) + 1 for t in texts], np.int64)
-    bounds = np.concatenate(([0], np.cumsum(lengths)))
-    codes, bounds = codes[keep], at[bounds]
+    codes, sentence, bounds = _kept(keep, codes, sentence, bounds)
     # join letters that single spaces set apart: drop a break between two one-letter words of a text
-    if len(codes) > 4:
-        is_break = codes == BREAK
-        last = np.zeros(len(codes) + 1, bool)
-        last[bounds[1:]] = True
-        single = np.zeros(len(codes), bool)
-        single[1:-1] = ~is_break[1:-1] & is_break[:-2] & is_break[2:]
-        lone = np.zeros(len(codes), bool)
-        lone[1:-1] = is_break[1:-1] & single[:-2] & single[2:] & ~last[2:-1]
-        if lone.any():
-            at = np.concatenate(([0], np.cumsum(~lone)))
-            codes, bounds = codes[~lone], at[bounds]
-    return codes, bounds
+    is_break = codes == BREAK
+    last = np.zeros(len(codes) + 1, bool)
+    last[bounds] = True
+    single = np.zeros(len(codes), bool)
+    single[1:-1] = ~is_break[1:-1] & is_break[:-2] & is_break[2:]
+    lone = np.zeros(len(codes), bool)
+    lone[1:-1] = is_break[1:-1] & single[:-2] & single[2:] & ~last[2:-1]
+    # of breaks in a row the last stays
+    lone[:-1] |= is_break[:-1] & is_break[1:]
+    return _kept(~lone, codes, sentence, bounds)
+
+
+def _kept(keep: np.ndarray, codes: np.ndarray, sentence: np.ndarray, bounds: np.ndarray):
+    at = np.concatenate(([0], np.cumsum(keep)))
+    return codes[keep], sentence[keep], at[bounds]
 
 
 def word_bounds(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -101,7 +120,7 @@ def word_bounds(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _self_kernel(n: np.ndarray) -> np.ndarray:
-    """c(n) for a word of n different letters with a break at either side."""
+    """c(n) for n different letters with a break at either side."""
     n = np.asarray(n) + 2
     out = np.zeros(n.shape)
     for _, _, c, w in OFFSETS:
@@ -109,49 +128,73 @@ def _self_kernel(n: np.ndarray) -> np.ndarray:
     return np.maximum(out, 1e-12)
 
 
-def subsequences(codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
-    """For each offset pattern: code of the subsequence from each position, whether it stays within one word, weight.
+def subsequences(codes: np.ndarray) -> Iterator[tuple[np.ndarray, int, float]]:
+    """For each offset pattern: code of the subsequence from each position, its span, its weight.
 
     A break may be its first or last letter, so that words of two letters have features.
     """
     n = len(codes)
     wide = codes.astype(np.int32)
-    at = np.where(codes == BREAK, np.arange(n, dtype=np.int32), n + 8).astype(np.int32)
-    following = np.minimum.accumulate(at[::-1])[::-1]
-    nxt = np.concatenate((following[1:], [n + 8])).astype(np.int32)
-    room = nxt - np.arange(n, dtype=np.int32)
     for a, b, c, w in OFFSETS:
         m = n - c
-        if m <= 0:
-            continue
-        code = ((wide[:m] * 32 + wide[a : a + m]) * 32 + wide[b : b + m]) * 32 + wide[c : c + m]
-        yield code, room[:m] >= c, w
+        if m > 0:
+            yield ((wide[:m] * 32 + wide[a : a + m]) * 32 + wide[b : b + m]) * 32 + wide[c : c + m], c, w
+
+
+def rooms(codes: np.ndarray) -> list[np.ndarray]:
+    """For each position the distances to the first WORDS breaks after it."""
+    n = len(codes)
+    breaks = np.flatnonzero(codes == BREAK)
+    after = np.searchsorted(breaks, np.arange(n), side="right")
+    padded = np.concatenate((breaks, np.full(WORDS, n + 2 * SPAN)))
+    return [np.minimum(padded[after + k] - np.arange(n), 100).astype(np.int8) for k in range(WORDS)]
 
 
 def position_scores(codes: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """The weighted sum over the subsequences that start at each position."""
-    out = np.zeros(len(codes), np.float32)
-    for code, inside, w in subsequences(codes):
-        out[: len(code)] += np.where(inside, weights[code], np.float32(0)) * np.float32(w)
+    """[k, i]: the weighted sum over the subsequences from position i that cross exactly k breaks."""
+    out = np.zeros((WORDS, len(codes)), np.float32)
+    room = rooms(codes)
+    for code, c, w in subsequences(codes):
+        m = len(code)
+        value = weights[code] * np.float32(w)
+        low = None
+        for k in range(WORDS):
+            within = room[k][:m] >= c
+            out[k, :m] += value * (within if low is None else within & ~low)
+            low = within
+            if k == 0 and within.all():
+                break
     return out
 
 
-def worst_words(texts: list[str], weights: np.ndarray) -> np.ndarray:
-    """For each text its largest word score, 0 without words. A word's score is length-normalised."""
+def window_scores(codes: np.ndarray, sentence: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and length-normalised score of every window of up to WORDS words of one sentence."""
+    start, end = word_bounds(codes)
+    own = sentence[start]
+    run = np.zeros((WORDS, len(codes) + 1))
+    np.cumsum(position_scores(codes, weights), axis=1, dtype=np.float64, out=run[:, 1:])
+    firsts, lasts, found = [], [], []
+    for m in range(1, WORDS + 1):
+        j = np.flatnonzero(own[m - 1 :] == own[: max(0, len(own) - m + 1)])
+        low, high = start[j] - 1, end[j + m - 1]
+        total = run[0][high] - run[0][low]
+        for k in range(1, m):  # what crosses k breaks starts k words before the window's last, or earlier
+            total += run[k][start[j + m - k] - 1] - run[k][low]
+        firsts.append(low + 1)
+        lasts.append(high)
+        found.append(total / np.sqrt(_self_kernel(high - low - 1)))
+    return np.concatenate(firsts), np.concatenate(lasts), np.concatenate(found)
+
+
+def worst_windows(texts: list[str], weights: np.ndarray) -> np.ndarray:
+    """For each text its largest window score, 0 without words."""
     best = np.zeros(len(texts))
     for low in range(0, len(texts), 64):
         part = texts[low : low + 64]
-        codes, bounds = encode(part)
-        codes = np.concatenate(([BREAK], codes)).astype(np.uint8)
-        bounds = bounds + 1
-        start, end = word_bounds(codes)
-        if not len(start):
-            continue
-        run = np.concatenate(([0.0], np.cumsum(position_scores(codes, weights), dtype=np.float64)))
-        score = (run[end] - run[start - 1]) / np.sqrt(_self_kernel(end - start))
-        doc = np.searchsorted(bounds, start, side="right") - 1
+        codes, sentence, bounds = encode(part)
+        start, _, score = window_scores(codes, sentence, weights)
         worst = np.full(len(part), -np.inf)
-        np.maximum.at(worst, doc, score)
+        np.maximum.at(worst, np.searchsorted(bounds, start, side="right") - 1, score)
         best[low : low + 64] = np.where(np.isfinite(worst), worst, 0.0)
     return best
 
@@ -159,18 +202,19 @@ def worst_words(texts: list[str], weights: np.ndarray) -> np.ndarray:
 # --- training, on the driver, over the bounded sample
 
 
-def _features(words: list[str], index: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Kernel values of words (strings of letter codes) with the landmarks behind index and table."""
-    out = np.zeros((len(words), table.shape[1]), np.float32)
-    for low in range(0, len(words), 2000):
-        part = words[low : low + 2000]
-        codes = np.frombuffer(b"\0" + b"\0".join(part) + b"\0", np.uint8)
+def _features(windows: list[bytes], index: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Kernel values of windows (letter codes, words set apart by breaks) with the landmarks behind index and table."""
+    out = np.zeros((len(windows), table.shape[1]), np.float32)
+    for low in range(0, len(windows), 2000):
+        part = windows[low : low + 2000]
+        codes = np.frombuffer(b"".join(b"\0" + w + b"\0" for w in part), np.uint8)
         size = np.array([len(w) for w in part])
-        begin = np.concatenate(([0], np.cumsum(size + 1)[:-1]))
-        owner = np.searchsorted(begin, np.arange(len(codes)), side="right") - 1
-        for code, inside, w in subsequences(codes):
+        begin = np.concatenate(([0], np.cumsum(size + 2)[:-1]))
+        owner = np.repeat(np.arange(len(part)), size + 2)
+        room = (begin + size + 1)[owner] - np.arange(len(codes))
+        for code, c, w in subsequences(codes):
             row = index[code]
-            hit = np.flatnonzero(inside & (row >= 0))
+            hit = np.flatnonzero((room[: len(code)] >= c) & (row >= 0))
             if len(hit):
                 who = owner[hit]
                 cuts = np.flatnonzero(np.concatenate(([True], who[1:] != who[:-1])))
@@ -184,8 +228,8 @@ def _landmark_table(marks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     found: dict[int, dict[int, float]] = {}
     for j, word in enumerate(marks):
         norm = float(np.sqrt(_self_kernel(np.array(len(word)))))
-        for code, inside, w in subsequences(np.frombuffer(b"\0" + word + b"\0", np.uint8)):
-            for u in code[inside]:
+        for code, _, w in subsequences(np.frombuffer(b"\0" + word + b"\0", np.uint8)):
+            for u in code:
                 own = found.setdefault(int(u), {})
                 own[j] = own.get(j, 0.0) + w / norm
     index = np.full(CODES, -1, np.int32)
@@ -199,19 +243,29 @@ def _landmark_table(marks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray) -> np.ndarray:
     """Weights (last: bias) minimising RIDGE/2 |w|^2 + sum cost * max(0, 1 - y f)^2 by Newton steps."""
-    x = np.hstack((x, np.ones((len(x), 1), x.dtype))).astype(np.float64)
-    w = np.zeros(x.shape[1])
-    ridge = np.full(x.shape[1], RIDGE)
+    w = np.zeros(x.shape[1] + 1)
+    ridge = np.full(len(w), RIDGE)
     ridge[-1] = 1e-6
-    for _ in range(30):
-        margin = 1 - y * (x @ w)
-        on = margin > 0
-        xa, ca = x[on], cost[on]
-        gradient = ridge * w - 2 * xa.T @ (ca * y[on] * margin[on])
-        if np.linalg.norm(gradient) < 1e-8:
+    value = lambda v: x @ v[:-1].astype(x.dtype) + v[-1]
+    loss = lambda v: 0.5 * (ridge * v * v).sum() + (cost * np.maximum(1 - y * value(v), 0) ** 2).sum()
+    now = loss(w)
+    for _ in range(60):
+        margin = 1 - y * value(w)
+        gradient, hessian = ridge * w, np.diag(ridge)
+        on = np.flatnonzero(margin > 0)
+        for at in range(0, len(on), 4096):
+            i = on[at : at + 4096]
+            part = np.hstack((x[i].astype(np.float64), np.ones((len(i), 1))))
+            gradient -= 2 * part.T @ (cost[i] * y[i] * margin[i])
+            hessian += 2 * (part * cost[i, None]).T @ part
+        if np.linalg.norm(gradient) < 1e-6:
             break
-        hessian = np.diag(ridge) + 2 * (xa * ca[:, None]).T @ xa
-        w = w - np.linalg.solve(hessian, gradient)
+        step, size = np.linalg.solve(hessian, gradient), 1.0
+        while size > 1e-6 and (new := loss(w - size * step)) > now - 1e-4 * size * (gradient @ step):
+            size /= 2
+        if size <= 1e-6:
+            break
+        w, now = w - size * step, new
     return w
 
 
@@ -232,110 +286,163 @@ def _platt(f: np.ndarray, positive: np.ndarray, weight: np.ndarray) -> tuple[flo
     return float(w[0]), float(w[1])
 
 
+class Bags:
+    """Sentences of training documents, scored chunk by chunk."""
+
+    def __init__(self, documents: list[list[bytes]]):
+        self.size = len(documents)
+        # a chunk: its sentences' codes, one break ahead and one after each, their lengths, and their documents
+        self.chunks: list[tuple[bytes, np.ndarray, np.ndarray]] = []
+        some: list[bytes] = []
+        owner: list[int] = []
+        for k, sentences in enumerate(documents):
+            some += sentences
+            owner += [k] * len(sentences)
+            if sum(map(len, some)) > CHUNK or k == len(documents) - 1:
+                lengths = np.array([1, *(len(s) + 1 for s in some)])
+                self.chunks.append((b"\0" + b"".join(s + b"\0" for s in some), lengths, np.array([k, *owner], np.int32)))
+                some, owner = [], []
+
+    def scored(self, weights: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """codes, and start, end, score and document of the windows of each chunk."""
+        for raw, lengths, owner in self.chunks:
+            codes, sentence = np.frombuffer(raw, np.uint8), np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+            start, end, score = window_scores(codes, sentence, weights)
+            yield codes, start, end, score, owner[sentence[start]]
+
+    def worst(self, weights: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+        """Score and window of the worst sentence of each document that has words; the window b"" of others."""
+        best, windows = np.full(self.size, -np.inf), [b""] * self.size
+        for codes, start, end, score, owner in self.scored(weights):
+            order = np.lexsort((start, -score, owner))
+            first = order[np.concatenate(([True], owner[order][1:] != owner[order][:-1]))] if len(order) else order
+            for i in first.tolist():
+                if score[i] > best[owner[i]]:
+                    best[owner[i]], windows[owner[i]] = score[i], codes[start[i] : end[i]].tobytes()
+        return best, windows
+
+    def hardest(self, weights: np.ndarray, n: int) -> list[bytes]:
+        """The n windows of greatest score, without repeats."""
+        found: dict[bytes, float] = {}
+        for codes, start, end, score, _ in self.scored(weights):
+            some = np.argsort(-score, kind="stable")[: 2 * n]
+            found |= {codes[start[i] : end[i]].tobytes(): float(score[i]) for i in some.tolist()}
+            found = dict(sorted(found.items(), key=lambda x: (-x[1], x[0]))[:n])
+        return list(found)
+
+    def every(self, n: int) -> list[bytes]:
+        """About n windows at equal steps."""
+        out: dict[bytes, None] = {}
+        total = sum(raw.count(b"\0") for raw, _, _ in self.chunks) * WORDS  # one break a word
+        step = max(1, total // max(1, n))
+        for codes, start, end, _, _ in self.scored(np.zeros(CODES, np.float32)):
+            out |= dict.fromkeys(codes[start[i] : end[i]].tobytes() for i in range(0, len(start), step))
+        return list(out)
+
+
+def _odds(toxic: list[list[bytes]], clean: list[list[bytes]]) -> np.ndarray:
+    """How much more often a subsequence occurs in toxic documents than in clean ones, as log odds."""
+    df = []
+    for documents in (toxic, clean):
+        count = np.zeros(CODES, np.int32)
+        for sentences in documents:
+            codes = np.frombuffer(b"\0" + b"\0".join(sentences) + b"\0", np.uint8)
+            seen = np.zeros(CODES, bool)
+            for code, _, _ in subsequences(codes):
+                seen[code] = True
+            count += seen
+        df.append(count)
+    odds = np.log((df[0] + 0.5) / (len(toxic) + 1)) - np.log((df[1] + 0.5) / (len(clean) + 1))
+    return np.where(df[0] >= 2, np.maximum(odds, 0), 0).astype(np.float32)
+
+
+def telling(toxic: list[list[bytes]], clean: list[list[bytes]]) -> dict[bytes, int]:
+    """Words of many toxic sentences, a hundredth of the documents or 5 at least, that no clean one has, and of how many.
+
+    Sentences that repeat count once, so that words of copied texts aren't taken for insults.
+    """
+    seen = [{}, {}]
+    for count, documents in zip(seen, (toxic, clean), strict=True):
+        for s in {s for sentences in documents for s in sentences}:
+            for w in {w for w in s.split(b"\0") if len(w) > 1}:
+                count[w] = count.get(w, 0) + 1
+    return {w: n for w, n in sorted(seen[0].items()) if n >= max(5, len(toxic) / 100) and w not in seen[1]}
+
+
 def train(rows: list[tuple[int, int, list[bytes]]]) -> dict:
-    """A model from (doc_id, toxic, distinct folded words) of the sample."""
+    """A model from (doc_id, toxic, distinct folded sentences) of the sample."""
     rows = sorted(rows, key=lambda r: (r[1], r[0]))
-    toxic = [r for r in rows if r[1]]
-    clean = [r for r in rows if not r[1]]
+    toxic, clean = ([r[2] for r in rows if bool(r[1]) == y] for y in (True, False))
     share = len(toxic) / max(1, len(rows))
     if not toxic or not clean:
         return {"weights": None, "bias": 0.0, "a": 0.0, "b": 0.0, "share": float(share)}
-    good: dict[bytes, int] = {}
-    for _, _, words in clean:
-        for w in words:
-            good[w] = good.get(w, 0) + 1
-    # how much more often a subsequence occurs in toxic documents than in clean ones
-    df = [np.zeros(CODES, np.int32), np.zeros(CODES, np.int32)]
-    for _, y, words in rows:
-        codes = np.frombuffer(b"\0" + b"\0".join(words) + b"\0", np.uint8)
-        hits = [code[inside] for code, inside, _ in subsequences(codes)]
-        if hits:
-            df[int(bool(y))][np.unique(np.concatenate(hits))] += 1
-    odds = np.log((df[1] + 0.5) / (len(toxic) + 1)) - np.log((df[0] + 0.5) / (len(clean) + 1))
-    odds = np.where(df[1] >= 2, np.maximum(odds, 0), 0).astype(np.float32)
-
-    def chosen(score) -> list[bytes]:
-        out = []
-        for _, _, words in toxic:
-            if words:
-                out.append(words[int(np.argmax(score(words)))])
-        return out
-
-    def by_weights(weights):
-        def score(words: list[bytes]) -> np.ndarray:
-            codes = np.frombuffer(b"\0" + b"\0".join(words) + b"\0", np.uint8)
-            size = np.array([len(w) for w in words])
-            begin = np.concatenate(([0], np.cumsum(size + 1)[:-1]))
-            run = np.concatenate(([0.0], np.cumsum(position_scores(codes, weights), dtype=np.float64)))
-            return (run[begin + size + 1] - run[begin]) / np.sqrt(_self_kernel(size))
-
-        return score
-
-    worst = chosen(by_weights(odds))
-    order = sorted(good, key=lambda w: (-good[w], w))
-    ranked = by_weights(odds)
-    hard = np.concatenate([ranked(order[i : i + 5000]) for i in range(0, len(order), 5000)]) if order else np.zeros(0)
-    top = [order[i] for i in np.argsort(-hard, kind="stable")[: NEGATIVES // 3]]
-    negatives = list(dict.fromkeys(top + order[: NEGATIVES // 3] + sorted(order, key=lambda w: hash_of(w))[: NEGATIVES // 3]))
-    weights, bias, spoilt = odds, 0.0, []
+    bad, good = Bags(toxic), Bags(clean)
+    weights, bias, spoilt = _odds(toxic, clean), 0.0, []
+    others, words = good.every(OTHERS), telling(toxic, clean)
+    hard: dict[bytes, None] = {}
     for _ in range(ROUNDS):
-        count: dict[bytes, int] = {}
-        for w in worst:
+        hard = dict.fromkeys([*good.hardest(weights, HARD), *hard])
+        negatives = list(dict.fromkeys([*list(hard)[: HARD + HARD // 2], *others]))
+        # the worst window hides others beside it, which are examples, too, where only toxic documents have them
+        count = dict(words)
+        for w in filter(None, bad.worst(weights)[1]):
             count[w] = count.get(w, 0) + 1
-        marks = sorted(count, key=lambda w: (-count[w], w))[: LANDMARKS // 2]
+        common = sorted(count, key=lambda w: (-count[w], w))
+        marks = common[: LANDMARKS // 2]
         marks += [w for w in negatives[:: max(1, len(negatives) // (LANDMARKS // 2))] if w not in count][: LANDMARKS // 2]
         index, table = _landmark_table(marks)
         positives = sorted(count)
-        # the commonest of them with one letter put in, at each place: a tenth of the weight that they have
-        spoilt = sorted({v for w in sorted(count, key=lambda w: (-count[w], w))[:SPOILT] for v in with_letter(w)})
-        x = _features(positives + spoilt + negatives, index, table)
+        spoilt = sorted({v for w in common[:SPOILT] for v in with_letter(w)})
         y = np.concatenate((np.ones(len(positives) + len(spoilt)), -np.ones(len(negatives))))
-        share_of = [np.array([count[w] for w in positives]) / len(worst), np.full(len(spoilt), 0.1 / max(1, len(spoilt))), np.full(len(negatives), 1 / len(negatives))]
-        cost = np.concatenate(share_of) * 200
-        kernel = _features(marks, index, table).astype(np.float64)
-        values, vectors = np.linalg.eigh((kernel + kernel.T) / 2)
-        keep = values > 1e-4 * values.max()
-        whiten = vectors[:, keep] / np.sqrt(values[keep])
-        w = _svm(x @ whiten, y, cost)
-        alpha, bias = whiten @ w[:-1], float(w[-1])
-        weights = np.zeros(CODES, np.float32)
-        rows_of = np.flatnonzero(index >= 0)
-        weights[rows_of] = table[index[rows_of]] @ alpha
-        worst = chosen(by_weights(weights))
-    score = by_weights(weights)
-    best = np.array([max(0.0, score(words).max()) if words else 0.0 for _, _, words in rows])
-    # misspelt words count as toxic texts here, too, by a tenth of what the toxic ones weigh
-    spelt = np.maximum(score(spoilt), 0.0) if spoilt else np.zeros(0)
-    positive = np.concatenate((np.array([bool(r[1]) for r in rows]), np.ones(len(spelt), bool)))
-    weight = np.concatenate((np.ones(len(rows)), np.full(len(spelt), 0.1 * len(toxic) / max(1, len(spelt)))))
+        share_of = [np.array([count[w] for w in positives]) / max(1, sum(count.values())), np.full(len(spoilt), 0.1 / max(1, len(spoilt))), np.full(len(negatives), 1 / max(1, len(negatives)))]
+        share_of[2][:HARDEST] += 1 / HARDEST
+        whiten = nystrom(_features(marks, index, table))
+        w = _svm(_features(positives + spoilt + negatives, index, table) @ whiten.astype(np.float32), y, np.concatenate(share_of) * 200)
+        bias, weights = float(w[-1]), folded(index, table, whiten @ w[:-1])
+    best = np.maximum(np.concatenate((bad.worst(weights)[0], good.worst(weights)[0])), 0.0)
+    # misspelt windows count as toxic texts here, too, by a tenth of what the toxic ones weigh
+    spelt = np.maximum(Bags([[w] for w in spoilt]).worst(weights)[0], 0.0)
+    positive = np.concatenate((np.ones(len(toxic), bool), np.zeros(len(clean), bool), np.ones(len(spelt), bool)))
+    weight = np.concatenate((np.ones(len(toxic) + len(clean)), np.full(len(spelt), 0.1 * len(toxic) / max(1, len(spelt)))))
     a, b = _platt(np.concatenate((best, spelt)) + bias, positive, weight)
     return {"weights": weights, "bias": bias, "a": a, "b": b, "share": float(share)}
 
 
-def with_letter(word: bytes) -> list[bytes]:
-    """The word with one letter, fixed by a hash, put in at each place but its ends."""
-    return [word[:i] + bytes([1 + hash_of(word + bytes([i])) % 26]) + word[i:] for i in range(1, len(word))]
+def nystrom(kernel: np.ndarray) -> np.ndarray:
+    """Columns that map kernel values with the landmarks to features whose inner products are the kernel's."""
+    kernel = kernel.astype(np.float64)
+    values, vectors = np.linalg.eigh((kernel + kernel.T) / 2)
+    keep = values > 1e-4 * values.max()
+    return vectors[:, keep] / np.sqrt(values[keep])
 
 
-def hash_of(word: bytes) -> int:
-    import zlib
+def folded(index: np.ndarray, table: np.ndarray, alpha: np.ndarray) -> np.ndarray:
+    """The weight of each subsequence, given that of each landmark."""
+    weights = np.zeros(CODES, np.float32)
+    known = np.flatnonzero(index >= 0)
+    weights[known] = table[index[known]] @ alpha
+    return weights
 
-    return zlib.crc32(word)
 
+def with_letter(window: bytes) -> list[bytes]:
+    """The window with one letter, fixed by a hash, put in at each place inside a word."""
+    inside = (i for i in range(1, len(window)) if window[i - 1] and window[i])
+    return [window[:i] + bytes([1 + zlib.crc32(window + bytes([i % 256])) % 26]) + window[i:] for i in inside]
 
-def _training_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct folded words of each document's sentences; of more than TRAIN_SENTENCES, those of smallest hash."""
-    import re
 
+def _training_sentences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, toxic, text) -> the distinct folded sentences of each text, breaks between words, two between sentences."""
     for batch in batches:
-        words = []
+        out = []
         for text in batch.column(2).to_pylist():
-            parts = [s for s in re.split(r"[.!?\n]+", text or "") if s.strip()]
-            if len(parts) > TRAIN_SENTENCES:
-                parts = sorted(parts, key=lambda s: (hash_of(s.encode()), s))[:TRAIN_SENTENCES]
-            codes, _ = encode(parts) if parts else (np.zeros(0, np.uint8), None)
-            words.append(b"\0".join(sorted({w for w in codes.tobytes().split(b"\0") if len(w) >= 2})))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(words, pa.binary())], names=["doc_id", "toxic", "words"])
+            codes, sentence, _ = encode([text or ""])
+            start, end = word_bounds(codes)
+            own = sentence[start]
+            first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1]))) if len(own) else own
+            last = np.append(first[1:], len(own))
+            raw = codes.tobytes()
+            out.append(b"\0\0".join(sorted({raw[start[a] : end[b - 1]] for a, b in zip(first.tolist(), last.tolist(), strict=True)})))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["doc_id", "toxic", "sentences"])
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> dict:
@@ -347,19 +454,19 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
         .agg(F.max("toxic").cast("int").alias("toxic"))
     )
     rank = F.xxhash64(F.lit(7), "doc_id")
-    some = [known.where(F.col("toxic") == y).orderBy(rank, "doc_id").limit(TRAIN_ROWS) for y in (0, 1)]
-    # at most 2 * TRAIN_ROWS ids: small enough to broadcast whatever the input
+    some = [known.where(F.col("toxic") == y).orderBy(rank, "doc_id").limit(TRAIN_ROWS[y]) for y in (0, 1)]
+    # at most sum(TRAIN_ROWS) ids: small enough to broadcast whatever the input
     chosen = F.broadcast(some[0].unionByName(some[1]))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(chosen, "doc_id")
-    rows = texts.select("doc_id", "toxic", "text").mapInArrow(_training_words, "doc_id long, toxic int, words binary").collect()
-    first = {r["doc_id"]: r for r in sorted(rows, key=lambda r: (r["doc_id"], bytes(r["words"])))}  # a doc_id that repeats counts once
-    return train([(i, r["toxic"], [w for w in bytes(r["words"]).split(b"\0") if w]) for i, r in first.items()])
+    rows = texts.select("doc_id", "toxic", "text").mapInArrow(_training_sentences, "doc_id long, toxic int, sentences binary").collect()
+    first = {r["doc_id"]: r for r in sorted(rows, key=lambda r: (r["doc_id"], bytes(r["sentences"])))}  # a doc_id that repeats counts once
+    return train([(i, r["toxic"], [s for s in bytes(r["sentences"]).split(b"\0\0") if s]) for i, r in first.items()])
 
 
 def scores(texts: list[str | None], m: dict) -> np.ndarray:
     if m["weights"] is None:
         return np.full(len(texts), m["share"])
-    f = np.maximum(worst_words([t or "" for t in texts], m["weights"]), 0.0) + m["bias"]
+    f = np.maximum(worst_windows([t or "" for t in texts], m["weights"]), 0.0) + m["bias"]
     return 1 / (1 + np.exp(-np.clip(m["a"] * f + m["b"], -30, 30)))
 
 

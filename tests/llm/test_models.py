@@ -51,6 +51,112 @@ def test_toxicity_learns_gapped_words(spark, make):
     assert clean.columns == make(odd).columns and [6, 7, 8, 9] == sorted(r["doc_id"] for r in clean.collect() if r["doc_id"] != 5)
 
 
+def _phi(window: bytes) -> dict:
+    """Every 4-letter subsequence of a window between two breaks, by enumeration."""
+    from itertools import combinations
+
+    from gridweave.llm import toxicity as x
+
+    padded, out = b"\0" + window + b"\0", {}
+    for at in combinations(range(len(padded)), 4):
+        span = at[3] - at[0] + 1
+        if span <= x.SPAN:
+            u = bytes(padded[i] for i in at)
+            out[u] = out.get(u, 0.0) + x.DECAY**span
+    return out
+
+
+def _kernel(s: bytes, t: bytes) -> float:
+    own, other = _phi(s), _phi(t)
+    plain = lambda w: _phi(bytes(range(1, len(w) + 1)))  # noqa: E731  as many letters, all different
+    norm = math.prod(sum(v * v for v in plain(w).values()) for w in (s, t))
+    return sum(v * other.get(u, 0.0) for u, v in own.items()) / math.sqrt(norm or 1.0)
+
+
+def _folded_words(text: str) -> list[list[bytes]]:
+    import re
+
+    return [[bytes(ord(c) - 96 for c in w) for w in s.lower().split()] for s in re.split(r"[.!?]+\s|\n", text)]
+
+
+def test_string_kernel_against_brute_force():
+    from gridweave.llm import toxicity as x
+
+    rng = random.Random(3)
+    word = lambda n: bytes(rng.choice(b"\x01\x02\x03\x04\x05") for _ in range(n))
+    some = [word(n) for n in (1, 2, 3, 5, 9)] + [word(4) + b"\0" + word(3), word(2) + b"\0" + word(1) + b"\0" + word(6)]
+    marks = [word(n) for n in (2, 4, 6)] + [word(3) + b"\0" + word(3)]
+    index, table = x._landmark_table(marks)
+    got = x._features(some, index, table)
+    assert np.allclose(got, [[_kernel(s, t) for t in marks] for s in some], atol=1e-6)
+    # Nystrom features of the landmarks have the kernel as inner products
+    kernel = x._features(marks, index, table).astype(float)
+    mapped = kernel @ x.nystrom(kernel)
+    assert np.allclose(mapped @ mapped.T, kernel, atol=1e-3)
+
+
+def test_window_scores_against_brute_force():
+    """Scoring by one weight per subsequence gives each window the machine's value on its kernel features."""
+    from gridweave.llm import toxicity as x
+
+    rng = random.Random(4)
+    marks = [bytes(rng.randrange(1, 8) for _ in range(n)) for n in (4, 5, 6, 7)]
+    index, table = x._landmark_table(marks)
+    alpha = np.array([0.7, -0.4, 1.1, 0.2])
+    weights = x.folded(index, table, alpha)
+    texts = ["abc de fga bcd. efga bb\ncdefg abdc", "", "ab", "gfedc bagfe. dcb agf edcba  gfe"]
+    for text in texts:
+        codes, sentence, _ = x.encode([text])
+        start, end, score = x.window_scores(codes, sentence, weights)
+        got = sorted((codes[a:b].tobytes(), round(float(v), 4)) for a, b, v in zip(start, end, score, strict=True))
+        windows = [b"\0".join(ws[i : i + m]) for ws in _folded_words(text) for m in (1, 2, 3) for i in range(len(ws) - m + 1)]
+        want = sorted((w, round(sum(a * _kernel(w, t) for a, t in zip(alpha, marks, strict=True)), 4)) for w in windows)
+        assert [w for w, _ in got] == [w for w, _ in want]
+        assert np.allclose([v for _, v in got], [v for _, v in want], atol=2e-4)
+    each = [max([0.0] if not _folded_words(t)[0] else [float(v) for v in x.window_scores(*x.encode([t])[:2], weights)[2]]) for t in texts]
+    assert np.allclose(x.worst_windows(texts, weights), each, atol=1e-5)
+
+
+def test_machine_minimises_its_loss():
+    from gridweave.llm import toxicity as x
+
+    rng = np.random.default_rng(1)
+    features, y = rng.standard_normal((300, 5)).astype(np.float32), np.where(rng.random(300) < 0.3, 1.0, -1.0)
+    cost = rng.random(300)
+    w = x._svm(features, y, cost)
+
+    def loss(v):
+        f = features.astype(float) @ v[:-1] + v[-1]
+        return 0.5 * x.RIDGE * (v[:-1] ** 2).sum() + 0.5e-6 * v[-1] ** 2 + (cost * np.maximum(1 - y * f, 0) ** 2).sum()
+
+    assert all(loss(w) <= loss(w + step) + 1e-9 for step in 0.01 * rng.standard_normal((200, 6)))
+
+
+def test_toxicity_learns_sentences_of_several_words(spark, make):
+    """An insult that only several harmless words make, and a toxic sentence far into a long text."""
+    rng = random.Random(8)
+    syllables = ["ka", "lo", "mi", "re", "tu", "sen", "dor", "pal"]
+    word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randrange(1, 4)))
+    insult = ["zuv", "fib", "goq"]
+
+    def text(toxic):
+        sentences = [[word() for _ in range(8)] for _ in range(rng.choice([3, 6, 500]) if rng.random() < 0.05 else 4)]
+        for w in insult:  # each word alone is harmless
+            sentences[0].insert(rng.randrange(4) * 2, w)
+        if toxic:
+            s = sentences[-1]
+            at = rng.randrange(len(s))
+            s[at:at] = insult
+        return ". ".join(" ".join(s) for s in sentences) + "."
+
+    rows = [(i, text(i % 3 == 0), int(i % 3 == 0)) for i in range(600)]
+    docs = make([(i, t) for i, t, _ in rows])
+    labels = spark.createDataFrame([(i, 1, y) for i, _, y in rows], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r for r in score_toxicity(docs, fit(docs, labels)).collect()}
+    held = [(y, got[i]["predicted"]) for i, _, y in rows if got[i]["held_out"]]
+    assert sum(a == b for a, b in held) / len(held) > 0.9, held
+
+
 def test_toxicity_without_labels(spark, make):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     docs = make([(1, "a"), (2, None)])
