@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
@@ -29,8 +31,12 @@ def mix(x: np.ndarray) -> np.ndarray:
 BYTE = mix(np.arange(1, 257, dtype=U64) * BASE)
 
 
+#: Powers that a worker keeps; more are computed anew for the few texts that need them.
+KEPT = 1 << 21
+
+
 def powers(base: np.uint64, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64; the longest so far is kept."""
+    """base**0 .. base**(n-1) modulo 2**64; the longest so far is kept, up to KEPT."""
     have = _POW.get(int(base))
     if have is None or len(have) < n:
         size = max(n, 1 << 16)
@@ -38,10 +44,21 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
         have = np.full(size, base, U64)
         have[0] = 1
         have = np.multiply.accumulate(have)
-        _POW[int(base)] = have
+        if size <= KEPT:
+            _POW[int(base)] = have
     return have[:n]
 
 
+def portions(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of a string column, of at most so many bytes or one row."""
+    _, offsets = buffers(column)
+    at, n = 0, len(column)
+    while at < n:
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, side="right")) - 1)
+        yield at, min(end, n)
+        at = end
+
+
 def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string or binary column and the n + 1 offsets into them; null is empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytescan import LOWER, U64, buffers, mix, prefix_hash, span_hash, words
+from .bytescan import LOWER, U64, buffers, mix, portions, prefix_hash, span_hash, words
 from .graph import components
 from .runtime import columns_of, discard, fresh, prepare, settle
 from .sieve import Sieve
@@ -99,7 +99,7 @@ def _identity(x: np.ndarray) -> list[int]:
 def _sign(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         longs = pa.list_(pa.int64())
-        for batch in batches:
+        for batch in (b.slice(low, high - low) for b in batches for low, high in portions(b.column(1))):
             sets, bounds = shingle_sets(batch.column(1), size)
             n = batch.num_rows
             ident, bands, sketch = np.zeros((n, 2), np.int64), [], np.zeros((n, 2), np.int64)
@@ -123,20 +123,22 @@ def _sign(size: int):
     return run
 
 
-def _sets(size: int):
-    """(place, text, th) -> place, th and the shingles of each text; a row that repeats in a task is read once."""
+def _sets(size: int, sieve: Sieve | None):
+    """(place, text, th, slot) -> place, th and the shingles of each text that the sieve lets through; a row that repeats in a task is read once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
-                new = []
-                for k, own in enumerate(zip(part.column(0).to_pylist(), part.column(2).to_pylist(), strict=True)):
-                    if own not in seen:
-                        seen.add(own)
-                        new.append(k)
-                part = part.take(pa.array(new, pa.int64()))
+            if sieve is not None:
+                batch = batch.filter(pa.array(sieve.hits(batch.column(3).to_numpy())))
+            new = []
+            for k, own in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                if own not in seen:
+                    seen.add(own)
+                    new.append(k)
+            batch = batch.take(pa.array(new, pa.int64()))
+            for low, high in portions(batch.column(1)):
+                part = batch.slice(low, high - low)
                 sets, bounds = shingle_sets(part.column(1), size)
                 lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(sets.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), lists], names=["place", "place_th", "shingles"])
@@ -147,8 +149,12 @@ def _sets(size: int):
 def _full_sets(asked: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     """cls and shingles of the classes asked for (cls, place, place_th), by one more scan of docs (place, text, th)."""
     asked = settle(asked, "asked")
-    some = Sieve(asked, "place").maybe(docs.select("place", "text", "th"), "place")
-    found = some.mapInArrow(_sets(size), "place long, place_th long, shingles array<long>")
+    sieve = Sieve(asked, "place")
+    if sieve.bitmap is not None:
+        some = docs.select("place", "text", "th", sieve.slot("place").alias("slot"))
+    else:
+        some = sieve.maybe(docs.select("place", "text", "th"), "place").withColumn("slot", F.lit(0).cast("long"))
+    found = some.mapInArrow(_sets(size, sieve if sieve.bitmap is not None else None), "place long, place_th long, shingles array<long>")
     out = settle(found.join(asked, ["place", "place_th"]).select("cls", "shingles"), "shingles")
     discard(asked)
     return out

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytescan import LOWER, SPACE, U64, buffers, mix, prefix_hash, span_hash
+from .bytescan import LOWER, SPACE, U64, buffers, mix, portions, prefix_hash, span_hash
 from .runtime import prepare, settle, unit_hash
 
 BUCKETS, TARGET_ROWS = 10_000, 5000
@@ -64,7 +64,7 @@ def ngrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts by bucket of all texts of a task, and of its target texts: BUCKETS rows however much it reads."""
     raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
-    for batch in batches:
+    for batch in (b.slice(low, high - low) for b in batches for low, high in portions(b.column(0))):
         grams, owner = ngrams(batch.column(0))
         raw += np.bincount(grams, minlength=BUCKETS)
         good = batch.column(1).fill_null(False).to_numpy(zero_copy_only=False)
@@ -75,7 +75,7 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _weigh(table):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ratio = np.frombuffer(table.value, np.float64)
-        for batch in batches:
+        for batch in (b.slice(low, high - low) for b in batches for low, high in portions(b.column(1))):
             grams, owner = ngrams(batch.column(1))
             n = np.bincount(owner, minlength=batch.num_rows)
             weight = np.bincount(owner, weights=ratio[grams], minlength=batch.num_rows).astype(np.float64)  # of no n-grams: integers

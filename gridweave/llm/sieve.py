@@ -30,24 +30,25 @@ class Sieve:
         n = keys.count()
         if n <= MOST_KEYS:
             self.bits = max(LEAST_BITS, 1 << max(0, 8 * n - 1).bit_length())
-            words = keys.select(self._slot(column).alias("s")).groupBy(F.shiftright("s", 6).alias("w"))
+            words = keys.select(self.slot(column).alias("s")).groupBy(F.shiftright("s", 6).alias("w"))
             # at most 8 * MOST_KEYS / 64 rows of two numbers
             rows = words.agg(F.expr("bit_or(shiftleft(1L, cast(s & 63 AS int)))").alias("b")).toArrow()
             out = np.zeros(self.bits // 64, np.int64)
             out[rows["w"].to_numpy()] = rows["b"].to_numpy()
             self.bitmap = keys.sparkSession.sparkContext.broadcast(out.tobytes())
 
-    def _slot(self, column: str):
+    def slot(self, column: str):
+        """The bit of a key; only with a bitmap."""
         key = F.col(column)
         return F.pmod(key if self.hashed else F.xxhash64(F.lit(5), key), F.lit(self.bits))
 
     def hits(self, hashes: np.ndarray) -> np.ndarray:
-        """Which of these hashed keys may be in the table; only with a bitmap."""
+        """Which of these hashed keys, or bits of keys, may be in the table; only with a bitmap."""
         return _hits(np.frombuffer(self.bitmap.value, np.int64), hashes % self.bits)
 
     def _sieved(self, rows: DataFrame, column: str, wanted: bool) -> DataFrame:
         slot = fresh(rows, "slot")
-        return rows.select(*columns_of(rows), self._slot(column).alias(slot)).mapInArrow(_sift(self.bitmap, len(rows.columns), wanted), rows.schema)
+        return rows.select(*columns_of(rows), self.slot(column).alias(slot)).mapInArrow(_sift(self.bitmap, len(rows.columns), wanted), rows.schema)
 
     def maybe(self, rows: DataFrame, column: str) -> DataFrame:
         """The rows whose key may be in the table."""
