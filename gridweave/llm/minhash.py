@@ -9,7 +9,9 @@ Classes that share a bucket but not a component after that are compared across c
 prefix-filter join: sets at the threshold share at least one of their rarest shingles (of a set of n, the
 n - ceil(0.8 n) + 1 rarest), so only those are joined, not the buckets. A passage that very many texts
 share is not among the rarest, and brings no pairs. Rarity is read from a table of hashed counts, whose
-size is bounded; any fixed order is exact, rare first saves pairs. Members of one component aren't paired.
+size is bounded; any fixed order is exact, rare first saves pairs. The join itself drops pairs whose first
+common shingle comes too late in their order, or whose parity sketches differ in more bits than the sets
+may in shingles. Large components at a shingle meet others only, never themselves.
 
 Defined results: null or word-less text has no shingles and links with nothing; a text with fewer words
 than a shingle is one shingle; documents with equal sets are one class and share a component; a doc_id
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .bytescan import LOWER, U64, buffers, mix, portions, prefix_hash, span_hash, words
 from .graph import components
-from .runtime import columns_of, discard, fresh, prepare, settle
+from .runtime import columns_of, discard, fresh, prepare, release, settle
 from .sieve import Sieve
 
 #: Values per band and number of bands; two values come from each of ROWS * BANDS / 2 permutations.
@@ -40,6 +42,10 @@ PERMUTATIONS = ROWS * BANDS // 2
 SKETCH_BITS, SKETCH_MOST = 128, 30
 #: Most hashed counts of shingles, 4 bytes each.
 COUNTERS = 1 << 22
+#: Bits of the parity sketch: two sets' differ in no more bits than the sets differ in shingles.
+PARITY = 1024
+#: Classes of one component at one shingle from which on they are kept from meeting each other.
+LARGE = 64
 
 _KEYS = mix(np.arange(1, PERMUTATIONS + 1, dtype=U64))
 _MULT = mix(np.arange(1001, PERMUTATIONS + 1001, dtype=U64)) | U64(1)
@@ -170,12 +176,12 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _rarest(slots: int, counts, percent: int):
-    """(cls, shingles) -> shingle, cls for the rarest shingles of a set, of which two sets at the threshold share one."""
+    """(cls, shingles) -> shingle, place in the order, cls for the rarest shingles of a set, of which two sets at the threshold share one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(counts.value, np.int32)
         for batch in batches:
-            found, owner = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            found, places, owner = ([np.zeros(0, np.int64)] for _ in range(3))
             lists = batch.column(1)
             off = lists.offsets.to_numpy()
             values = lists.values.to_numpy()
@@ -184,32 +190,66 @@ def _rarest(slots: int, counts, percent: int):
                 n = len(x)
                 seen = table[x % slots]
                 first = np.lexsort((x, seen))[: n - -(-percent * n // 100) + 1]
-                first = first[seen[first] > 1]  # one that nobody else has makes no pair
-                found.append(x[first])
-                owner.append(np.full(len(first), cls, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(np.concatenate(owner))], names=["shingle", "cls"])
+                shared = np.flatnonzero(seen[first] > 1)  # one that nobody else has makes no pair
+                found.append(x[first[shared]])
+                places.append(shared)
+                owner.append(np.full(len(shared), cls, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (found, places, owner)], names=["shingle", "at", "cls"])
 
     return run
 
 
+def _parity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(cls, shingles) -> cls, parity: for each of PARITY slots, whether an odd number of shingles falls into it."""
+    for batch in batches:
+        lists = batch.column(1)
+        off, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+        rows = np.repeat(np.arange(batch.num_rows), np.diff(off))
+        slot = (mix(values[off[0] : off[-1]].view(U64) ^ U64(0xABCDEF)) % U64(PARITY)).astype(np.int64)
+        odd = np.bincount(rows * PARITY + slot, minlength=batch.num_rows * PARITY) & 1
+        packed = np.packbits(odd.astype(np.uint8)).view(np.int64)
+        starts = np.arange(batch.num_rows + 1, dtype=np.int32) * (PARITY // 64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(starts), pa.array(packed))], names=["cls", "parity"])
+
+
 def _across(left: DataFrame, sets: DataFrame, side, fits, percent: int) -> DataFrame:
-    """Pairs (a, b) of classes of different components (left: cls, c) that share one of their rarest shingles."""
+    """Pairs (a, b) of classes of different components (left: cls, c) that share one of their rarest shingles and may reach the threshold."""
     spark = left.sparkSession
     total = sets.agg(F.sum(F.size("shingles"))).first()[0] or 0
     slots = min(COUNTERS, max(1 << 16, 1 << (total // 8).bit_length()))
     rows = sets.select(F.explode("shingles").alias("s")).groupBy(F.pmod("s", F.lit(slots)).alias("s")).agg(F.count(F.lit(1)).alias("n")).toArrow()
     counts = np.zeros(slots, np.int32)
     counts[rows["s"].to_numpy()] = np.minimum(rows["n"].to_numpy(), np.iinfo(np.int32).max)
-    rare = sets.select("cls", "shingles").mapInArrow(_rarest(slots, spark.sparkContext.broadcast(counts.tobytes()), percent), "shingle long, cls long")
+    own = sets.select("cls", "shingles")
+    rare = own.mapInArrow(_rarest(slots, spark.sparkContext.broadcast(counts.tobytes()), percent), "shingle long, at long, cls long")
     rare = settle(rare.join(left, "cls"), "rarest")
-    # components that meet at a shingle, then their members: pairs inside a component never arise
     ends = rare.groupBy("shingle").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where(F.col("c0") != F.col("c1"))
     met = settle(rare.join(settle(ends.select("shingle"), "met"), "shingle", "left_semi"), "meeting")
-    comps = settle(met.select("shingle", "c").distinct(), "comps")
-    two = comps.withColumnRenamed("c", "c_a").join(comps.withColumnRenamed("c", "c_b"), "shingle").where(F.col("c_a") > F.col("c_b"))
-    member = lambda s: met.select("shingle", F.col("c").alias(f"c_{s}"), F.col("cls").alias(s)).join(side(s), s)
-    pairs = two.join(member("a"), ["shingle", "c_a"]).join(member("b"), ["shingle", "c_b"]).where(fits)
-    return settle(pairs.select("a", "b").distinct(), "across")
+    discard(rare)
+    facts = side("cls").join(own.mapInArrow(_parity, "cls long, parity array<long>"), "cls")
+    facts = facts.select("cls", *(F.col(f"{c}_cls").alias(c) for c in ("n", "sketch_a", "sketch_b")), "parity")
+    facts = settle(facts, "facts")
+    described = settle(met.join(facts, "cls"), "described")
+    discard(met)
+    discard(facts)
+    met = described
+    end = lambda rows, s: rows.select("shingle", *(F.col(c).alias(f"{c}_{s}") for c in ("c", "at", "n", "sketch_a", "sketch_b", "parity")), F.col("cls").alias(s))
+    # of the shingles from the first common one on, all may be common
+    late = (100 + percent) * F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) < percent * (F.col("n_a") + F.col("n_b"))
+    odd = F.aggregate(F.zip_with("parity_a", "parity_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    may = fits & ~late & ((100 + percent) * odd <= (100 - percent) * (F.col("n_a") + F.col("n_b")))
+    sizes = met.groupBy("shingle", "c").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > LARGE)
+    large = settle(sizes.select("shingle", "c"), "large")
+    small, many = met.join(large, ["shingle", "c"], "left_anti"), met.join(large, ["shingle", "c"], "left_semi")
+    pairs = end(small, "a").join(end(small, "b"), "shingle").where((F.col("c_a") > F.col("c_b")) & may).select("a", "b")
+    if not large.isEmpty():
+        pairs = pairs.unionByName(end(many, "a").join(end(small, "b"), "shingle").where(may).select("a", "b"))
+        two = large.withColumnRenamed("c", "c_a").join(large.withColumnRenamed("c", "c_b"), "shingle").where(F.col("c_a") > F.col("c_b"))
+        pairs = pairs.unionByName(end(many, "a").join(two, ["shingle", "c_a"]).join(end(many, "b"), ["shingle", "c_b"]).where(may).select("a", "b"))
+    out = settle(pairs.distinct(), "across")
+    discard(met)
+    release(spark)
+    return out
 
 
 def _judged(docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -232,7 +272,10 @@ def _judged(docs: DataFrame, size: int, percent: int) -> DataFrame:
     )
     banded = classes.select("cls", "rep", F.explode("bands").alias("key"))
     buckets = banded.groupBy("key").agg(F.min(F.struct("rep", "cls")).alias("pivot"), F.min("cls").alias("c0"), F.max("cls").alias("c1")).where(F.col("c0") != F.col("c1"))
-    members = settle(banded.select("cls", "key").join(buckets.select("key", F.col("pivot.cls").alias("pivot")), "key"), "members")
+    # written first: both sides of the join are then plain exchanges, and a crowded bucket can be split
+    buckets = settle(buckets.select("key", F.col("pivot.cls").alias("pivot")), "buckets")
+    members = settle(banded.select("cls", "key").join(buckets, "key"), "members")
+    discard(buckets)
 
     facts = classes.select("cls", "n", "sketch_a", "sketch_b")
     side = lambda s: facts.select(F.col("cls").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("n", "sketch_a", "sketch_b")))
@@ -246,12 +289,15 @@ def _judged(docs: DataFrame, size: int, percent: int) -> DataFrame:
     links = _confirm(stars, sets, percent)
     discard(sets)
     discard(stars)
+    release(docs.sparkSession)
 
     label = components(links)
     known = members.join(label.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", F.coalesce("component", "cls").alias("c"))
     split = known.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where(F.col("c0") != F.col("c1")).select("key")
+    known, split = settle(known, "known"), settle(split, "split")
     left = settle(known.join(split, "key", "left_semi").select("cls", "c").distinct(), "unsettled")
-    discard(members)
+    for done in (members, known, split):
+        discard(done)
     if not left.isEmpty():
         sets = _full_sets(places.join(left, "cls", "left_semi"), texts, size)
         more = _confirm(_across(left, sets, side, fits, percent), sets, percent)

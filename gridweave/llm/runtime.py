@@ -92,6 +92,11 @@ def discard(df: DataFrame | None) -> None:
         _delete(df.sparkSession, df._settled)
 
 
+def release(spark: SparkSession) -> None:
+    """Let shuffle files of plans that are done go: Spark removes them when the driver's JVM collects the plans."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def columns_of(df: DataFrame) -> list:
     """All columns of df, whatever characters their names have."""
     return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]
