@@ -307,7 +307,7 @@ def _judged(docs: DataFrame, size: int, percent: int) -> DataFrame:
     group = classes.join(label, classes["cls"] == label["node"], "left").select("set_a", "set_b", "rep", F.coalesce("component", "cls").alias("c"))
     group = settle(group, "groups")
     # a component is named by its smallest doc_id
-    names = group.groupBy("c").agg(F.min("rep").alias("component_id"))
+    names = settle(group.groupBy("c").agg(F.min("rep").alias("component_id")), "names")
     group = group.select("set_a", "set_b", "c").join(names, "c").select("set_a", "set_b", "component_id")
     joined = signed.select("doc_id", "th", "n_shingles", "set_a", "set_b").join(group, ["set_a", "set_b"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))

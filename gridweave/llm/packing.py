@@ -60,11 +60,9 @@ def differencing(sizes: list[int], k: int) -> list[list[int]]:
     window[-1:] = [np.arange(k)]
     for at in range(len(met) - 1, -1, -1):
         a, b, order = met[at]
-        own = window[len(sizes) + at]
-        window[a], window[b] = np.empty(k, np.int64), np.empty(k, np.int64)
-        window[a][order] = own
-        window[b][k - 1 - order] = own
-        window[len(sizes) + at] = None
+        own = np.empty(k, np.int64)
+        own[order] = window[len(sizes) + at]
+        window[a], window[b], window[len(sizes) + at] = own, own[::-1], None
     out: list[list[int]] = [[] for _ in range(k)]
     for i in range(len(sizes)):
         out[int(window[i][0])].append(i)

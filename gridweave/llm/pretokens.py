@@ -46,22 +46,21 @@ def unassigned() -> re.Pattern:
     return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in spans) + "]")
 
 
-class Cache(dict):
-    """What was learnt of pre-tokens, within CACHE_BYTES; `fixed` stays when it starts anew."""
+class Cache:
+    """What was learnt of pre-tokens, within CACHE_BYTES; `fixed` stays when the table starts anew."""
 
     def __init__(self, fixed: dict | None = None):
-        super().__init__(fixed or {})
-        self.fixed, self.held = dict(fixed or {}), 0
+        self.fixed, self.table, self.held = dict(fixed or {}), dict(fixed or {}), 0
 
     def learn(self, piece: str, value, size: int = 0) -> None:
         if len(piece) > LONGEST:
             return
         self.held += ENTRY + 4 * len(piece) + size
         if self.held > CACHE_BYTES:
-            self.clear()
-            self.update(self.fixed)
+            self.table.clear()
+            self.table.update(self.fixed)
             self.held = ENTRY + 4 * len(piece) + size
-        self[piece] = value
+        self.table[piece] = value
 
 
 class Encoder:
@@ -99,7 +98,7 @@ class Encoder:
         return self.single(piece) if self.single else self.library(piece)
 
     def known(self, piece: str) -> bytes:
-        ids = self.cache.get(piece)
+        ids = self.cache.table.get(piece)
         if ids is None:
             ids = to_bytes(self.one(piece))
             self.cache.learn(piece, ids, len(ids))
@@ -109,7 +108,7 @@ class Encoder:
         pieces = self.cut(text)
         if pieces is None:
             return to_bytes(self.library(text))
-        known = self.cache
+        known = self.cache.table
         try:
             return b"".join([known[p] for p in pieces])
         except KeyError:

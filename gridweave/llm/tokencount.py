@@ -57,15 +57,16 @@ def frequent(rows: DataFrame, name: str) -> dict[str, int]:
 def _count(name: str, limit: int, table):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, first = encoder(name), table.value
-        lengths = _LENGTHS.get(name)
-        if lengths is None or lengths.fixed != first:
-            lengths = _LENGTHS[name] = Cache(first)
+        cache = _LENGTHS.get(name)
+        if cache is None or cache.fixed != first:
+            cache = _LENGTHS[name] = Cache(first)
+        lengths = cache.table
 
         def known(piece: str) -> int:
             n = lengths.get(piece)
             if n is None:
                 n = len(own.one(piece))
-                lengths.learn(piece, n)
+                cache.learn(piece, n)
             return n
 
         for batch in batches:

@@ -291,7 +291,7 @@ def test_lookup_serves_all_scripts(make, monkeypatch):
         for _ in range(2):
             assert own.ids(text) == pretokens.to_bytes(lib.encode(text, add_special_tokens=False).ids), text
     assert set(asked) == {SCRIPTS[9]}
-    assert all(len(p) <= pretokens.LONGEST for p in own.cache)
+    assert all(len(p) <= pretokens.LONGEST for p in own.cache.table)
     got = {r["doc_id"]: r["n_tokens"] for r in count_tokens(make(list(enumerate(SCRIPTS)))).collect()}
     assert got == {i: len(lib.encode(t, add_special_tokens=False).ids) for i, t in enumerate(SCRIPTS)}
 
@@ -317,9 +317,9 @@ def test_cache_is_bounded_in_bytes(monkeypatch):
     cache = pretokens.Cache({"the": 1})
     for i in range(1000):
         cache.learn(f"w{i}", i)
-        assert cache["the"] == 1 and len(cache) <= 11 and cache[f"w{i}"] == i
+        assert cache.table["the"] == 1 and len(cache.table) <= 11 and cache.table[f"w{i}"] == i
     cache.learn("x" * 10_000, 3)
-    assert "x" * 10_000 not in cache
+    assert "x" * 10_000 not in cache.table
 
 
 def test_packing_round_trip(spark, make, awkward):
