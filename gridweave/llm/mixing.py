@@ -22,7 +22,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import discard, settle, unit_hash
+from .runtime import columns_of, discard, settle, unit_hash
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -179,7 +179,7 @@ def mixed(docs: DataFrame, share: float = SHARE) -> DataFrame:
     """The mix itself: rows of docs, each as often as it is taken, with the columns of docs."""
     narrow = settle(docs.select("doc_id", F.col("source").cast("string").alias("source"), size_of(F.col("text")).alias("size")), "sizes")
     plan, few = plan_mix(narrow, share)
-    names = [F.col(f"row.{c}") for c in docs.columns]
-    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), size_of(F.col("text")).alias("size"), F.struct(*docs.columns).alias("row"))
+    names = [F.col("row").getField(c).alias(c) for c in docs.columns]
+    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), size_of(F.col("text")).alias("size"), F.struct(*columns_of(docs)).alias("row"))
     chosen = take(rows, plan, few).where(F.col("copies") > 0)
     return chosen.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*names)

@@ -94,19 +94,19 @@ def pack_block(sizes: list[int], capacity: int) -> tuple[list[tuple[int, int, in
         k += 1
 
 
-_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
+_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, row long, ids binary"
 
 
 def _pack(name: str, capacity: int, want_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(name)
-        sequence = TaskContext.get().partitionId() << 40
+        sequence = number = TaskContext.get().partitionId() << 40
         rows: list[tuple] = []
         block: list[tuple] = []
 
-        def put(doc_id, ids, start, end, seq, offset):
+        def put(item, ids, start, end, seq, offset):
             part = ids[4 * start : 4 * end]
-            rows.append((doc_id, start, end - start, zlib.crc32(part), len(ids) // 4, seq, offset, part if want_ids else None))
+            rows.append((item[0], start, end - start, zlib.crc32(part), len(ids) // 4, seq, offset, item[1], part if want_ids else None))
 
         def flush():
             nonlocal sequence
@@ -115,28 +115,29 @@ def _pack(name: str, capacity: int, want_ids: bool):
                 offset = 0
                 for p in window:
                     item, at, n = pieces[p]
-                    doc_id, ids, start = block[item]
-                    put(doc_id, ids, start + at, start + at + n, sequence, offset)
+                    own_row, ids, start = block[item]
+                    put(own_row, ids, start + at, start + at + n, sequence, offset)
                     offset += n
                 sequence += 1
             block.clear()
 
         def batch_of():
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 8
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 9
             rows.clear()
-            types = [pa.int64()] * 7 + [pa.binary()]
+            types = [pa.int64()] * 8 + [pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=_NAMES)
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = own.ids(text or "") + END
                 n, start = len(ids) // 4, 0
+                item, number = (doc_id, number), number + 1
                 while n - start >= capacity:
-                    put(doc_id, ids, start, start + capacity, sequence, 0)
+                    put(item, ids, start, start + capacity, sequence, 0)
                     sequence += 1
                     start += capacity
                 if start < n:
-                    block.append((doc_id, ids, start))
+                    block.append((item, ids, start))
                 if len(block) >= BLOCK:
                     flush()
                 if len(rows) > 4000:
@@ -152,7 +153,10 @@ _NAMES = [x.split()[0] for x in _SCHEMA.split(", ")]
 
 
 def pack(docs: DataFrame, capacity: int = 1024, tokenizer: str = "byte_bpe_50k.json", with_ids: bool = True) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids (bytes, or null)."""
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, row, ids (bytes, or null).
+
+    `row` numbers the rows of docs, so that rows that repeat a doc_id can be told apart; not densely.
+    """
     prepare(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(_pack(tokenizer, capacity, with_ids), _SCHEMA)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import columns_of, fresh
+from .runtime import columns_of, filtered
 
 #: Keys up to which the bitmap, of 32 MB then, is broadcast.
 MOST_KEYS = 1 << 25
@@ -47,8 +47,7 @@ class Sieve:
         return _hits(np.frombuffer(self.bitmap.value, np.int64), hashes % self.bits)
 
     def _sieved(self, rows: DataFrame, column: str, wanted: bool) -> DataFrame:
-        slot = fresh(rows, "slot")
-        return rows.select(*columns_of(rows), self.slot(column).alias(slot)).mapInArrow(_sift(self.bitmap, len(rows.columns), wanted), rows.schema)
+        return filtered(rows, _sift(self.bitmap, len(rows.columns), wanted), self.slot(column))
 
     def maybe(self, rows: DataFrame, column: str) -> DataFrame:
         """The rows whose key may be in the table."""

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import prepare
+from .runtime import filtered, prepare
 
 #: At most so many clean and toxic training documents.
 TRAIN_ROWS = (3000, 1500)
@@ -438,8 +438,8 @@ def _training_sentences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
             codes, sentence, _ = encode([text or ""])
             start, end = word_bounds(codes)
             own = sentence[start]
-            first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1]))) if len(own) else own
-            last = np.append(first[1:], len(own))
+            first = np.flatnonzero(np.diff(own, prepend=-1))
+            last = np.append(first, len(own))[1:]
             raw = codes.tobytes()
             out.append(b"\0\0".join(sorted({raw[start[a] : end[b - 1]] for a, b in zip(first.tolist(), last.tolist(), strict=True)})))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["doc_id", "toxic", "sentences"])
@@ -501,4 +501,4 @@ def _clean(model, at: int):
 def without_toxic(docs: DataFrame, model: dict) -> DataFrame:
     """docs without the rows whose score reaches THRESHOLD, with their columns as they are."""
     spark = prepare(docs.sparkSession)
-    return docs.mapInArrow(_clean(spark.sparkContext.broadcast(model), docs.columns.index("text")), docs.schema)
+    return filtered(docs, _clean(spark.sparkContext.broadcast(model), docs.columns.index("text")))

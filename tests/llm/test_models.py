@@ -2,6 +2,7 @@
 
 import math
 import random
+from collections import defaultdict
 
 import numpy as np
 import pytest
@@ -403,3 +404,37 @@ def test_pipeline(spark):
     assert mixed.columns == columns and {r["doc_id"] for r in mixed.collect()} <= want
     pieces = stage["packing"](spark, mixed, DIR).collect()
     assert {r["doc_id"] for r in pieces} == {r["doc_id"] for r in mixed.collect()}
+
+
+AWKWARD = [
+    (1, None, "en", None, None), (2, "", None, "a", 0), (None, "no id", "en", "a", 5), (None, "no  id", "en", "b", 6), (3, "same text", "en", "a", 9), (3, "same text", "en", "a", 9),
+    (3, "another text of the id", "en", None, 9), (4, "x " * 30_000, "en", "a", 60_000), (5, "same\ttext", "de", "b", 9),
+]
+
+
+@pytest.mark.parametrize("kind", ["empty", "awkward", "no labels"])
+def test_pipeline_of_awkward_tables(spark, tmp_path, kind):
+    """All stages on an empty table, on nulls, repeats and clashing column names, and without labels."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rows = [] if kind == "empty" else AWKWARD
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    clashing = {c: "'x'" for c in ("slot", "place", "th", "digest", "kept", "key", "row", "copies", "size", "`a.b`")}
+    docs.selectExpr("*", *(f"{v} AS {k}" for k, v in clashing.items())).write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [] if kind == "no labels" else [(1, 1, 0), (2, 0, 1), (3, 1, 0), (4, None, None), (None, 1, 1)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, str(tmp_path)).columns == docs.columns
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    if kind == "empty":
+        assert not pieces
+        return
+    taken = defaultdict(list)
+    for r in pieces:
+        taken[r["row"]].append(r)
+    for own in taken.values():  # every row of the mix lies in the windows once
+        assert sum(r["length"] for r in own) == own[0]["doc_tokens"]
+        assert sorted(r["start"] for r in own) == [sum(r["length"] for r in own if r["start"] < x) for x in sorted(r["start"] for r in own)]
+    if kind == "no labels":
+        texts = {(i, " ".join((t or "").split())) for i, t, *_ in AWKWARD}
+        assert {r["doc_id"] for r in pieces} <= {i for i, _ in texts} and 5 not in {r["doc_id"] for r in pieces}

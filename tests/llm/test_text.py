@@ -336,6 +336,7 @@ def test_packing_round_trip(spark, make, awkward):
             own = sorted(by_doc[i], key=lambda r: r["start"])
             assert b"".join(bytes(r["ids"]) for r in own) == want and all(r["doc_tokens"] == len(want) // 4 for r in own)
         total = padding = 0
+        assert len({r["row"] for r in pieces}) == df.count() and len({(r["row"], r["start"]) for r in pieces}) == len(pieces)
         for own in by_seq.values():
             at = 0
             for r in sorted(own, key=lambda r: r["offset"]):
