@@ -28,10 +28,12 @@ from pyspark.sql import functions as F
 from .runtime import columns_of, fresh, new_path, prepare, settle
 from .sieve import Sieve
 
-#: State on disk; without fallocate, which would reserve megabytes for each partition however little it holds.
+#: State on disk, with bounded memory, and without fallocate, which would reserve megabytes for each partition however little it holds.
 _STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "100",
 }
 _ROW = "doc_id long, digest binary, check long, row long, locator string"
 

@@ -28,7 +28,7 @@ CUTS = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(
 #: Anything else than ASCII, Latin letters and common punctuation: classes of those agree between regular-expression libraries.
 OTHER = re.compile("[^\x00-\x1b\x20-\x7e¡¿À-ÖØ-öø-ɏ«»‘’“”–—…€]")
 #: Bytes that a worker's cache holds before it starts anew, and the longest pre-token it keeps.
-CACHE_BYTES, LONGEST = 128 << 20, 128
+CACHE_BYTES, LONGEST = 64 << 20, 128
 #: What an entry takes besides its own bytes.
 ENTRY = 200
 

@@ -52,8 +52,8 @@ HARDEST = 1000
 #: Positive windows that are also shown with an inserted letter.
 SPOILT = 60
 THRESHOLD = 0.7
-#: Letters scored at a time in training.
-CHUNK = 1 << 19
+#: Letters scored at a time in training, and in a task beyond which texts aren't put together.
+CHUNK, PORTION = 1 << 19, 1 << 17
 
 BREAK, DROP = 0, 255
 #: Offsets of the 2nd to 4th letter from the 1st, and the weight of that span.
@@ -188,14 +188,18 @@ def window_scores(codes: np.ndarray, sentence: np.ndarray, weights: np.ndarray)
 
 def worst_windows(texts: list[str], weights: np.ndarray) -> np.ndarray:
     """For each text its largest window score, 0 without words."""
-    best = np.zeros(len(texts))
-    for low in range(0, len(texts), 64):
-        part = texts[low : low + 64]
-        codes, sentence, bounds = encode(part)
+    best, low = np.zeros(len(texts)), 0
+    while low < len(texts):
+        high, letters = low + 1, len(texts[low])
+        while high < len(texts) and letters + len(texts[high]) <= PORTION:
+            letters += len(texts[high])
+            high += 1
+        codes, sentence, bounds = encode(texts[low:high])
         start, _, score = window_scores(codes, sentence, weights)
-        worst = np.full(len(part), -np.inf)
+        worst = np.full(high - low, -np.inf)
         np.maximum.at(worst, np.searchsorted(bounds, start, side="right") - 1, score)
-        best[low : low + 64] = np.where(np.isfinite(worst), worst, 0.0)
+        best[low:high] = np.where(np.isfinite(worst), worst, 0.0)
+        low = high
     return best
 
 
