@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .catalogue import Relation
+from .catalogue import Relation, hierarchies, member_paths
 from .engine import SparkCube
 from .query import Axes, Explicit, MemberRef, Members, Named, Options, OrderBy, Predicate, Query, Range, Tuple
+from .schema import Aggregation, Dimension, Hierarchy, Level, Measure, Schema
 from .sources.star import sales_facts, sales_schema, stock_facts, stock_schema
+from .sources.tables import read_csv, shared_path, with_lookup
 
 _CUBES: dict[tuple, SparkCube] = {}
 
@@ -160,6 +162,7 @@ SALES: dict[str, tuple[Query, str]] = {
     "expr_mul": (_q(Axes.series(NATIONS), "Times"), _by("nation", "sum(revenue) * 0.5", "Times")),
     "expr_div": (_q(Axes.series(NATIONS), "UnitPrice"), _by("nation", "sum(revenue) / sum(quantity)", "UnitPrice")),
     "expr_div_zero": (_q(Axes.series(REGIONS), "DivZero"), _by("region", metric="DivZero").replace(_CELL, _ERROR)),
+    "expr_non_finite": (_q(Axes.series(REGIONS), "Overflow"), _by("region", metric="Overflow").replace(_CELL, _ERROR)),
     "expr_ref_chain": (_q(Axes.series(NATIONS), "Chained"), _by("nation", "sum(revenue) / sum(quantity) * 2", "Chained")),
     "expr_lag": (_q(Axes.series(MONTHS), "Previous", slicer=THIN), _months("lag(v, 1) OVER (ORDER BY ord)", "Previous")),
     "expr_lead": (_q(Axes.series(MONTHS), "Next", slicer=THIN), _months("lead(v, 1) OVER (ORDER BY ord)", "Next")),
@@ -292,15 +295,76 @@ def _level_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.members_df(own.level_members("Geography", "Default", "Nation"))
 
 
+#: Continent-like groups of regions, for a level that the facts don't have.
+ZONES = {"AFRICA": "South", "AMERICA": "West", "ASIA": "East"}
+
+
+def _derived_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cube whose top level is looked up from another column."""
+    facts = with_lookup(sales_facts(spark, sf_dir).select("region", "revenue"), "zone", "region", ZONES)
+    return _rounded(SparkCube(facts, _zone_schema()).query_df(_q(Axes.series(Members("Place", "Default", "Zone")), "revenue")))
+
+
+def _zone_schema() -> Schema:
+    levels = (("Zone", "zone"), ("Region", "region"))
+    return Schema.builder().dimension(Dimension.regular("Place", Hierarchy("Default", tuple(Level(*x) for x in levels)))).measure(Measure("revenue", Aggregation("sum"))).build()
+
+
+def _csv(kind: str) -> Callable[[SparkSession, str], DataFrame]:
+    """A cube over a CSV file with a header, its types given, inferred, or inferred from a share of the rows."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = sales_facts(spark, sf_dir).groupBy("region", "scenario").agg(F.sum("revenue").alias("revenue"))
+        path = shared_path(spark, "facts.csv")
+        with_lookup(rows, "zone", "region", ZONES).write.mode("overwrite").option("header", True).csv(path)
+        how = {"given": {"schema": "region string, scenario string, revenue double, zone string"}, "inferred": {}, "sampled": {"sample": 0.5}}[kind]
+        return _rounded(SparkCube(read_csv(spark, path, **how), _zone_schema()).query_df(_q(Axes.series(Members("Place", "Default", "Region")), "revenue")))
+
+    return run
+
+
+def _catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All members of all hierarchies, as the catalogue's scan finds them."""
+    own = cube(spark, sf_dir)
+    names = F.array(*(F.lit(d.name) for d, _ in hierarchies(own.schema())))
+    return member_paths(own.facts, own.schema()).select(F.element_at(names, F.col("h") + 1).alias("dim"), F.array_join("path", "/").alias("member"))
+
+
+def _exists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether paths are members: one that is, one that isn't, and one under another parent."""
+    own = cube(spark, sf_dir)
+    asked = [ASIA, _place("ATLANTIS"), _place("ASIA", own.level_members("Geography", "Default", "Nation")[0].path[1])]
+    return own._local([("/".join(m.path), float(own.catalogue.exists(m))) for m in asked], "member string, found double")
+
+
+_ZONED = _SALES + """, zoned AS (SELECT *, CASE region WHEN 'AFRICA' THEN 'South' WHEN 'AMERICA' THEN 'West' WHEN 'ASIA' THEN 'East' ELSE 'Other' END AS zone FROM sales)"""
+_BY_ZONE = "SELECT row_number() OVER (ORDER BY label) - 1 AS row_ord, 0 AS col_ord, label AS \"row\", '' AS col, 'revenue' AS metric, v, NULL::VARCHAR AS why FROM (SELECT {k} AS label, sum(revenue) AS v FROM zoned GROUP BY ALL)"
+_PLAIN_SQL = {
+    "source_derived_level": _sql(_BY_ZONE.format(k="zone"), base=_ZONED),
+    **{f"source_csv_{kind}": _sql(_BY_ZONE.format(k="zone || '/' || region"), base=_ZONED) for kind in ("given", "inferred", "sampled")},
+    "catalogue_members": f"WITH {_SALES} "
+    + " UNION ALL ".join(
+        f"SELECT DISTINCT '{dim}' AS dim, {member} AS member FROM sales"
+        for dim, members in (("Geography", ("region", "region || '/' || nation")), ("Product", ("ptype", "ptype || '/' || brand")), ("Time", ("yr", "yr || '/' || qtr", "yr || '/' || qtr || '/' || mon")), ("Scenario", ("scenario",)))
+        for member in members
+    ),
+    "catalogue_exists": f"WITH {_SALES}, first AS (SELECT nation, region FROM sales ORDER BY region, nation LIMIT 1) "
+    "SELECT 'ASIA' AS member, (count(*) > 0)::DOUBLE AS found FROM sales WHERE region = 'ASIA' UNION ALL SELECT 'ATLANTIS', 0::DOUBLE "
+    "UNION ALL SELECT 'ASIA/' || nation, (SELECT (count(*) > 0)::DOUBLE FROM sales s WHERE s.region = 'ASIA' AND s.nation = first.nation) FROM first",
+}
+_PLAIN = {"source_derived_level": _derived_level, "catalogue_members": _catalogue, "catalogue_exists": _exists, **{f"source_csv_{kind}": _csv(kind) for kind in ("given", "inferred", "sampled")}}
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = (
     {n: _cube_query("sales", q) for n, (q, _) in SALES.items()}
     | {n: _cube_query("stock", q) for n, (q, _) in STOCK.items()}
     | {n: _navigation(r, at) for n, (r, at, _) in NAVIGATION.items()}
     | {"nav_level_members": _level_members}
+    | _PLAIN
 )
 SQL: dict[str, str] = (
     {n: s for n, (_, s) in SALES.items()}
     | {n: s for n, (_, s) in STOCK.items()}
     | {n: s for n, (_, _, s) in NAVIGATION.items()}
     | {"nav_level_members": _nav(_PLACE_PATHS.format(m="region || '/' || nation", w="TRUE"))}
+    | _PLAIN_SQL
 )

@@ -82,6 +82,7 @@ def sales_schema() -> Schema:
             Metric("Times", revenue * Const(0.5)),
             Metric("UnitPrice", revenue / Ref("quantity")),
             Metric("DivZero", revenue / Const(0.0)),
+            Metric("Overflow", revenue * Const(1e300) * Const(1e300)),
             Metric("Chained", Ref("UnitPrice") * Const(2.0)),
             Metric("Previous", previous),
             Metric("Next", Lag(revenue, "Time", -1)),

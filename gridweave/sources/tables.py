@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -23,6 +25,16 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = N
     return (reader if sample is None else reader.option("samplingRatio", sample)).csv(path)
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new place in spark.checkpoint.dir, which all executors see; only a local master may do without the setting."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "/tmp/checkpoints"
+    return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex[:12]}-{name}"
+
+
 def lookup(key: str | Column, mapping: dict[str, str], default: str = "Other") -> Column:
     """A level column by lookup: unknown keys get the default, null stays null."""
     key = F.col(key) if isinstance(key, str) else key
