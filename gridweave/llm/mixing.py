@@ -112,27 +112,34 @@ def solve(hist: DataFrame, goal: DataFrame, few: bool) -> DataFrame:
 def _cuts(rated: DataFrame) -> DataFrame:
     """source -> cuts: per size class the first part whose documents get no further copy.
 
-    Walks a source's at most CLASSES * PARTS sums from its largest documents to its smallest; within a
-    class the documents likeliest to be taken come first. A part is taken while that brings the words so
-    far nearer to what the rates ask of this class and all larger ones, so each class makes up for the
-    rounding of those before it.
+    Walks a source's sums from its largest documents to its smallest; within a class the documents
+    likeliest to be taken come first. A part is taken while that brings the words so far nearer to what
+    the rates ask of this class and all larger ones, so each class makes up for the rounding of those
+    before it. Sums are gathered by class first, at most PARTS to a row, so that a hot source is spread;
+    its at most CLASSES rows meet only for the walk.
     """
     open_ = rated.where(F.col("rate") > F.col("base"))
     sums = open_.groupBy("source", "class", "part").agg(F.sum("size").alias("words"), F.sum((F.col("rate") - F.col("base")) * F.col("size")).alias("due"))
-    by_class = Window.partitionBy("source").orderBy("class").rangeBetween(Window.unboundedPreceding, 0)
-    rows = sums.select("source", "class", "part", "words", F.sum("due").over(by_class).alias("goal"))
-    walk = rows.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("class", "part", "words", "goal"))).alias("parts"))
-    start = F.struct(F.lit(0.0).alias("taken"), F.lit(-1).alias("class"), F.lit(False).alias("over"), F.array().cast("array<struct<class:int,part:int>>").alias("cuts"))
-
-    def step(acc, p):
-        over = (p["class"] == acc["class"]) & acc["over"]
-        take = ~over & (acc["taken"] + p["words"] / 2 <= p["goal"])
-        ends = ~over & ~take
-        cuts = F.when(ends, F.array_append(acc["cuts"], F.struct(p["class"].alias("class"), p["part"].alias("part")))).otherwise(acc["cuts"])
-        taken = acc["taken"] + F.when(take, p["words"].cast("double")).otherwise(F.lit(0.0))
-        return F.struct(taken.alias("taken"), p["class"].alias("class"), (over | ends).alias("over"), cuts.alias("cuts"))
-
-    return walk.select("source", F.map_from_entries(F.aggregate("parts", start, step)["cuts"]).alias("cuts"))
+    by_class = sums.groupBy("source", "class").agg(F.sum("due").alias("due"), F.sort_array(F.collect_list(F.struct("part", "words"))).alias("parts"))
+    walk = by_class.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("class", "due", "parts"))).alias("classes"))
+    start = F.struct(F.lit(0.0).alias("taken"), F.lit(0.0).alias("goal"), F.array().cast("array<struct<class:int,part:int>>").alias("cuts"))
+
+    def fill(goal):
+        def step(acc, p):
+            take = acc["part"].isNull() & (acc["taken"] + p["words"] / 2 <= goal)
+            taken = acc["taken"] + F.when(take, p["words"].cast("double")).otherwise(F.lit(0.0))
+            return F.struct(taken.alias("taken"), F.coalesce(acc["part"], F.when(~take, p["part"])).alias("part"))
+
+        return step
+
+    def walked(acc, c):
+        goal = acc["goal"] + c["due"]
+        end = F.aggregate(c["parts"], F.struct(acc["taken"].alias("taken"), F.lit(None).cast("int").alias("part")), fill(goal))
+        cut = F.struct(c["class"].alias("class"), end["part"].alias("part"))
+        cuts = F.when(end["part"].isNull(), acc["cuts"]).otherwise(F.array_append(acc["cuts"], cut))
+        return F.struct(end["taken"].alias("taken"), goal.alias("goal"), cuts.alias("cuts"))
+
+    return walk.select("source", F.map_from_entries(F.aggregate("classes", start, walked)["cuts"]).alias("cuts"))
 
 
 def _rated(rows: DataFrame, plan: DataFrame, few: bool) -> DataFrame:
