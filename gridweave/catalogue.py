@@ -1,7 +1,8 @@
 """The members of every hierarchy: found in the facts by one distributed scan, navigated in memory.
 
 The scan emits each hierarchy's key path (cut at the first null key), drops repeats before the shuffle,
-and adds all prefixes. What comes to the driver is the dimension members themselves, never facts.
+and adds all prefixes. What comes to the driver is the dimension members themselves, never facts; beyond
+a stated number of them the cube is refused rather than cut.
 """
 
 from __future__ import annotations
@@ -11,12 +12,14 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .errors import InvalidName, MalformedMemberValue, MemberRefHierarchyMismatch, UnknownHierarchy, UnknownMember, UnsupportedRelation
+from .errors import InvalidName, MalformedMemberValue, MemberRefHierarchyMismatch, TooManyMembers, UnknownHierarchy, UnknownMember, UnsupportedRelation
 from .names import by_bytes, name
 from .query import MemberRef
 from .schema import Schema
 
 Path = tuple[str, ...]
+#: Members of all hierarchies together that the driver holds, some 1 KB each.
+MOST_MEMBERS = 2_000_000
 
 
 @dataclass
@@ -90,10 +93,13 @@ class Relation:
 
 
 class Catalogue:
-    def __init__(self, facts: DataFrame, schema: Schema):
+    def __init__(self, facts: DataFrame, schema: Schema, most: int = MOST_MEMBERS):
         own = hierarchies(schema)
         found: list[list[Path]] = [[] for _ in own]
-        for row in member_paths(facts, schema).collect():
+        rows = member_paths(facts, schema).limit(most + 1).collect()  # one more than allowed shows that there are too many
+        if len(rows) > most:
+            raise TooManyMembers(most=most)
+        for row in rows:
             found[row["h"]].append(tuple(row["path"]))
         self.trees: dict[tuple[str, str], Tree] = {}
         for (dim, h), paths in zip(own, found, strict=True):

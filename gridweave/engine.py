@@ -8,9 +8,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .catalogue import Catalogue, Relation
+from .catalogue import MOST_MEMBERS, Catalogue, Relation
 from .errors import EvalSetCompositionIllFormed, LevelDtypeMismatch, MeasureDtypeMismatch, MissingLevelColumn, MissingMeasureColumn, ResolveUnknownLevel, UnknownHierarchy
-from .operators.metrics import Evaluator, intersect
+from .operators.metrics import MOST_CELLS, Evaluator, intersect
 from .operators.sets import tuples_of
 from .plans.resolve import Resolver
 from .query import Descendants, MemberRef, Query, Tuple
@@ -52,13 +52,16 @@ def validate(facts: DataFrame, schema: Schema) -> None:
 
 
 class SparkCube:
-    """A cube over any DataFrame. The facts stay where they are; queries send aggregates of them to the driver."""
+    """A cube over any DataFrame. The facts stay where they are; queries send aggregates of them to the driver.
 
-    def __init__(self, facts: DataFrame, schema: Schema):
+    Members and results live on the driver, so their numbers are bounded: more of them raise an error.
+    """
+
+    def __init__(self, facts: DataFrame, schema: Schema, most_members: int = MOST_MEMBERS, most_cells: int = MOST_CELLS):
         validate(facts, schema)
         self.facts, self._schema = facts, schema
-        self.catalogue = Catalogue(facts, schema)
-        self.evaluator = Evaluator(facts, schema, self.catalogue)
+        self.catalogue = Catalogue(facts, schema, most_members)
+        self.evaluator = Evaluator(facts, schema, self.catalogue, most_cells)
 
     def schema(self) -> Schema:
         return self._schema
@@ -95,10 +98,12 @@ class SparkCube:
                 return self._rollup(query, rows, root)
             return self._pivot(query, rows, listed("columns"))
         columns, pages = listed("columns"), listed("pages")
+        self.evaluator.allow(len(columns) * len(pages))
         wide = [both for p in pages for c in columns if (both := intersect(c, p)) is not None]
         return self._pivot(query, rows, wide)
 
     def _series(self, query: Query, rows: list[Tuple]) -> Series:
+        self.evaluator.allow(len(rows) * len(query.metrics))
         x = [_first(t) for t in rows]
         at = [intersect(query.slicer, t) for t in rows]
         cells = self.evaluator.cells([(m, t) for m in query.metrics for t in at])
@@ -108,6 +113,7 @@ class SparkCube:
         return Series([x[i] for i in keep], [Row(m, [c[i] for i in keep]) for m, c in zip(query.metrics, by_metric, strict=True)])
 
     def _pivot(self, query: Query, rows: list[Tuple], columns: list[Tuple]) -> Pivot:
+        self.evaluator.allow(len(rows) * len(columns) * max(1, len(query.metrics)))
         asked = []
         for r in rows:
             base = intersect(query.slicer, r)

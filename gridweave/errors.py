@@ -73,6 +73,7 @@ _kinds(
     MeasureDtypeMismatch="measure {measure}: column {column} of type {dtype} does not suit {aggregation}",
     LevelDtypeMismatch="dimension {dim}, level {level}: column {column} of type {dtype} can't be a level key",
     MalformedMemberValue="dimension {dim}, level {level}: {value!r} can't name a member",
+    TooManyMembers="the hierarchies have more than {most} members, the most that the driver is to hold",
 )
 _kinds(
     ResolveError,
@@ -105,4 +106,5 @@ _kinds(
     EvalAggregateFailed="measure {measure}: {reason}",
     EvalUnresolvedRef="no measure or metric {name}",
     EvalMetricCycle="metric {name} refers to itself",
+    EvalTooManyCells="{cells} tuples or cells on the driver, where {most} are allowed",
 )

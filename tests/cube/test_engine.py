@@ -45,6 +45,23 @@ def test_protocol(cube):
     assert isinstance(cube, Cube)
 
 
+def test_the_driver_holds_what_is_allowed(spark):
+    SparkCube(facts(spark), schema(), most_members=16)  # 5 and 3 places, 6 times, 2 plans
+    with pytest.raises(E.TooManyMembers):
+        SparkCube(facts(spark), schema(), most_members=15)
+    small = SparkCube(facts(spark), schema(), most_cells=8)
+    assert len(ask(small, Axes.pivot(REGIONS, MONTHS), "amount").cells) == 2
+    assert len(series(small, YEARS.cross(REGIONS)).x) == 4
+    for axes, metrics in [
+        (Axes.pivot(REGIONS, MONTHS), ("amount", "units")),
+        (Axes.series(COUNTRIES.cross(MONTHS)), ("amount",)),
+        (Axes.series(MONTHS), ("amount", "units", "Price")),
+        (Axes.paged(YEARS, COUNTRIES, MONTHS), ("amount",)),
+    ]:
+        with pytest.raises(E.EvalTooManyCells):
+            ask(small, axes, *metrics)
+
+
 @pytest.mark.parametrize(
     ("columns", "error"),
     [
