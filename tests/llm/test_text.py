@@ -425,6 +425,30 @@ def test_mixing(make):
     assert mix(make([])).count() == 0
 
 
+def test_mixing_cuts(spark):
+    from gridweave.llm.mixing import _cuts
+
+    rng = random.Random(9)
+    rows = [(rng.choice(["a", "b", None]), rng.randrange(4), rng.randrange(30), rng.choice([0.25, 0.5, 1.0, 1.75]), rng.randrange(1, 64)) for _ in range(800)]
+    frame = spark.createDataFrame(rows, "source string, class int, part int, rate double, size long").selectExpr("*", "floor(rate) AS base")
+    words, due = defaultdict(int), defaultdict(float)
+    for source, c, part, rate, size in rows:
+        if rate > int(rate):
+            words[source, c, part] += size
+            due[source, c] += (rate - int(rate)) * size
+    want = {}
+    for source in ("a", "b", None):
+        taken, goal, want[source] = 0, 0.0, {}
+        for c in range(4):
+            goal += due[source, c]
+            for part in sorted(p for s, k, p in words if (s, k) == (source, c)):
+                if taken + words[source, c, part] / 2 > goal:
+                    want[source][c] = part
+                    break
+                taken += words[source, c, part]
+    assert {r["source"]: r["cuts"] for r in _cuts(frame).collect()} == want
+
+
 # --- the queries
 
 
