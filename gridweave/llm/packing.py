@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .pretokens import encoder
-from .runtime import prepare
+from .runtime import prepare, tidy
 
 #: Remainders packed at a time.
 BLOCK = 768
@@ -159,4 +159,4 @@ def pack(docs: DataFrame, capacity: int = 1024, tokenizer: str = "byte_bpe_50k.j
     """
     prepare(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_pack(tokenizer, capacity, with_ids), _SCHEMA)
+    return rows.mapInArrow(tidy(_pack(tokenizer, capacity, with_ids)), _SCHEMA)

@@ -3,18 +3,24 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from functools import cache
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes of an Arrow batch: long documents must not add up to gigabytes in one Python worker.
 BATCH_ROWS = 500
 BATCH_BYTES = 8 << 20
+#: Bytes of input after which a Python worker gives freed memory back.
+TIDY_BYTES = 16 << 20
 _SHIPPED: set[str] = set()
 
 
@@ -102,12 +108,46 @@ def columns_of(df: DataFrame) -> list:
     return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]
 
 
+@cache
+def _malloc_trim():
+    """The C library's function, or None where it has none."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def trim() -> None:
+    """Give memory that Arrow and the C library hold, but nobody uses, back to the system."""
+    pa.default_memory_pool().release_unused()
+    if _malloc_trim():
+        _malloc_trim()(0)
+
+
+def tidy(function):
+    """A function over Arrow batches that trims as it goes and when it ends: Spark keeps workers, and else all they ever held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def counted() -> Iterator[pa.RecordBatch]:
+            read = 0
+            for batch in batches:
+                read += batch.nbytes
+                if read > TIDY_BYTES:
+                    read = 0
+                    trim()
+                yield batch
+
+        try:
+            yield from function(counted())
+        finally:
+            trim()
+
+    return run
+
+
 def filtered(df: DataFrame, function, *more) -> DataFrame:
     """Rows of df that a function over Arrow batches, of its columns and `more`, lets through; names with dots pass, too."""
     plain = df.select(*columns_of(df), *more)
     plain = plain.toDF(*(f"c{i}" for i in range(len(plain.columns))))
     schema = plain.select(*plain.columns[: len(df.columns)]).schema
-    return plain.mapInArrow(function, schema).toDF(*df.columns)
+    return plain.mapInArrow(tidy(function), schema).toDF(*df.columns)
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import filtered, prepare
+from .runtime import filtered, prepare, tidy
 
 #: At most so many clean and toxic training documents.
 TRAIN_ROWS = (3000, 1500)
@@ -462,7 +462,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
     # at most sum(TRAIN_ROWS) ids: small enough to broadcast whatever the input
     chosen = F.broadcast(some[0].unionByName(some[1]))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(chosen, "doc_id")
-    rows = texts.select("doc_id", "toxic", "text").mapInArrow(_training_sentences, "doc_id long, toxic int, sentences binary").collect()
+    rows = texts.select("doc_id", "toxic", "text").mapInArrow(tidy(_training_sentences), "doc_id long, toxic int, sentences binary").collect()
     first = {r["doc_id"]: r for r in sorted(rows, key=lambda r: (r["doc_id"], bytes(r["sentences"])))}  # a doc_id that repeats counts once
     return train([(i, r["toxic"], [s for s in bytes(r["sentences"]).split(b"\0\0") if s]) for i, r in first.items()])
 
@@ -489,7 +489,7 @@ def score_toxicity(docs: DataFrame, model: dict) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, held_out, score, predicted."""
     spark = prepare(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = rows.mapInArrow(_score(spark.sparkContext.broadcast(model)), "doc_id long, score double, predicted int")
+    out = rows.mapInArrow(tidy(_score(spark.sparkContext.broadcast(model))), "doc_id long, score double, predicted int")
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "score", "predicted")
 

@@ -322,6 +322,33 @@ def test_cache_is_bounded_in_bytes(monkeypatch):
     assert "x" * 10_000 not in cache.table
 
 
+def test_workers_give_memory_back():
+    from pathlib import Path
+
+    import numpy as np
+    import pyarrow as pa
+
+    from gridweave.llm.runtime import tidy
+
+    def held() -> int:
+        return sum(map(int, re.findall(r"\nPss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text()))) // 1024
+
+    pinned = []
+
+    def grow(batches):
+        for batch in batches:
+            freed = [np.ones(8000) for _ in range(3200)]  # 200 MB in pieces that malloc keeps
+            pinned.append(np.ones(8000))  # lies above them, so that the heap can't shrink from its end
+            del freed
+            yield batch
+
+    one = pa.RecordBatch.from_arrays([pa.array(["a", None])], names=["text"])
+    before = held()
+    assert [b.to_pydict() for b in tidy(grow)(iter([one, one]))] == [{"text": ["a", None]}] * 2
+    assert held() - before < 100
+    assert list(tidy(grow)(iter([]))) == []
+
+
 def test_packing_round_trip(spark, make, awkward):
     lib = library()
     for df in (make(awkward), documents(spark)):
