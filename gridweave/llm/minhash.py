@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .bytescan import LOWER, U64, buffers, mix, portions, prefix_hash, span_hash, words
 from .graph import components
-from .runtime import columns_of, discard, fresh, prepare, release, settle
+from .runtime import columns_of, discard, fresh, prepare, release, settle, tidy
 from .sieve import Sieve
 
 #: Values per band and number of bands; two values come from each of ROWS * BANDS / 2 permutations.
@@ -160,7 +160,7 @@ def _full_sets(asked: DataFrame, docs: DataFrame, size: int) -> DataFrame:
         some = docs.select("place", "text", "th", sieve.slot("place").alias("slot"))
     else:
         some = sieve.maybe(docs.select("place", "text", "th"), "place").withColumn("slot", F.lit(0).cast("long"))
-    found = some.mapInArrow(_sets(size, sieve if sieve.bitmap is not None else None), "place long, place_th long, shingles array<long>")
+    found = some.mapInArrow(tidy(_sets(size, sieve if sieve.bitmap is not None else None)), "place long, place_th long, shingles array<long>")
     out = settle(found.join(asked, ["place", "place_th"]).select("cls", "shingles"), "shingles")
     discard(asked)
     return out
@@ -221,12 +221,12 @@ def _across(left: DataFrame, sets: DataFrame, side, fits, percent: int) -> DataF
     counts = np.zeros(slots, np.int32)
     counts[rows["s"].to_numpy()] = np.minimum(rows["n"].to_numpy(), np.iinfo(np.int32).max)
     own = sets.select("cls", "shingles")
-    rare = own.mapInArrow(_rarest(slots, spark.sparkContext.broadcast(counts.tobytes()), percent), "shingle long, at long, cls long")
+    rare = own.mapInArrow(tidy(_rarest(slots, spark.sparkContext.broadcast(counts.tobytes()), percent)), "shingle long, at long, cls long")
     rare = settle(rare.join(left, "cls"), "rarest")
     ends = rare.groupBy("shingle").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where(F.col("c0") != F.col("c1"))
     met = settle(rare.join(settle(ends.select("shingle"), "met"), "shingle", "left_semi"), "meeting")
     discard(rare)
-    facts = side("cls").join(own.mapInArrow(_parity, "cls long, parity array<long>"), "cls")
+    facts = side("cls").join(own.mapInArrow(tidy(_parity), "cls long, parity array<long>"), "cls")
     facts = facts.select("cls", *(F.col(f"{c}_cls").alias(c) for c in ("n", "sketch_a", "sketch_b")), "parity")
     facts = settle(facts, "facts")
     described = settle(met.join(facts, "cls"), "described")
@@ -257,7 +257,7 @@ def _judged(docs: DataFrame, size: int, percent: int) -> DataFrame:
     prepare(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
     place = F.coalesce("doc_id", "th")  # where a class's text is found again
-    signed = settle(docs.select("doc_id", "text", "th").mapInArrow(_sign(size), _SIGNED), "signatures")
+    signed = settle(docs.select("doc_id", "text", "th").mapInArrow(tidy(_sign(size)), _SIGNED), "signatures")
     some = signed.where(F.col("n_shingles") > 0)
     # rows of one set have one signature, whichever is taken
     classes = some.groupBy("set_a", "set_b").agg(

@@ -349,6 +349,15 @@ def test_workers_give_memory_back():
     assert list(tidy(grow)(iter([]))) == []
 
 
+def test_mappers_give_memory_back(make, monkeypatch):
+    rows = make([(1, "a b c d e f g h"), (2, "a b c d e f g h i"), (3, None)])
+    seen, real = [], type(rows).mapInArrow
+    monkeypatch.setattr(type(rows), "mapInArrow", lambda df, f, *more: (seen.append(f.__qualname__), real(df, f, *more))[1])
+    near_duplicates(rows)
+    pack(rows)
+    assert len(seen) >= 2 and set(seen) == {"tidy.<locals>.run"}
+
+
 def test_packing_round_trip(spark, make, awkward):
     lib = library()
     for df in (make(awkward), documents(spark)):
